@@ -57,12 +57,11 @@ def _cluster_moments(fit: Fit, cluster: str) -> tuple[DataFrame, int]:
         "__e", F.col("__y") - linear_predictor(fit.xcols, fit.coef)
     )
     g = moments(rows, ["__one", *fit.xcols, "__e"], by="__cl")
-    m = F.col("m")
     within = [
-        m[triangle_at(i, j, k)] - m[triangle_at(0, i, k)] * m[triangle_at(0, j, k)] / m[0]
+        f"m[{triangle_at(i, j, k)}] - m[{triangle_at(0, i, k)}] * m[{triangle_at(0, j, k)}] / m[0]"
         for i in range(1, k) for j in range(i, k)
     ]
-    return g.select("__cl", F.array(*within).alias("m")), len(fit.xcols)
+    return g.select("__cl", F.expr(f"array({', '.join(within)})").alias("m")), len(fit.xcols)
 
 
 def cluster_se(fit: Fit, cluster: str, terms: Sequence[str] | None = None) -> DataFrame:

@@ -143,7 +143,7 @@ def build_design(
 
 
 def linear_predictor(xcols: Sequence[str], b: np.ndarray) -> Column:
-    return reduce(lambda s, t: s + t, [F.col(x) * F.lit(float(v)) for x, v in zip(xcols, b)], F.lit(0.0))
+    return F.expr(" + ".join(["0D", *[f"`{x}` * {float(v)!r}D" for x, v in zip(xcols, b)]]))
 
 
 def drop_aliased(gram: np.ndarray, tol: float = 1e-9) -> list[int]:

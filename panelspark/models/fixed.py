@@ -16,7 +16,7 @@ from .moments import moments, triangle_pairs, within_sums
 
 def fe_poisson(
     df: DataFrame, y: str, terms: Sequence[Term], absorb: str, offset: str | None = None,
-    tol: float = 1e-9, max_iter: int = 50,
+    tol: float = 1e-7, max_iter: int = 50,
 ) -> Fit:
     """Quasi-Poisson with absorbed group effects.
 
@@ -34,12 +34,10 @@ def fe_poisson(
         e = F.exp(linear_predictor(x, b) + F.col("__off"))
         rows = d.data.select(absorb, "__one", *x, "__y", e.alias("__e"))
         g = moments(rows, ["__one", *x], "__e", by=absorb, extra=["__y"])
-        total = F.col("m")[n_pairs]
-        g = g.withColumns({"__ysum": total, "__s": total / F.col("m")[0]}).filter(F.col("__ysum") > 0).persist()
-        hess, mean = within_sums(g, p + 1, scale="__s")
-        r = g.agg(F.sum(F.col("__ysum") * F.log(F.col("m")[0])).alias("ll"), F.count(F.lit(1)).alias("g")).head()
-        g.unpersist()
-        return float(sxy @ b - r["ll"]), sxy - mean, hess, int(r["g"])
+        total = f"m[{n_pairs}]"
+        g = g.filter(f"{total} > 0").selectExpr("m", f"{total} / m[0] AS __s", f"{total} * ln(m[0]) AS __ll", "1D AS __g")
+        hess, mean, (log_norm, groups) = within_sums(g, p + 1, scale="__s", extra=["__ll", "__g"])
+        return float(sxy @ b - log_norm), sxy - mean, hess, int(groups)
 
     b, kept = np.zeros(p), None
     ll, grad, hess, groups = evaluate(b)
@@ -84,7 +82,7 @@ def fe_poisson(
 
 
 def fe_logit(
-    df: DataFrame, y: str, terms: Sequence[Term], absorb: str, tol: float = 1e-8, max_iter: int = 60,
+    df: DataFrame, y: str, terms: Sequence[Term], absorb: str, tol: float = 1e-7, max_iter: int = 60,
 ) -> Fit:
     """Logit with a free effect per group (not the conditional likelihood).
 
@@ -116,15 +114,15 @@ def fe_logit(
             absorb, "__one", *x, w.alias("__v"), (eta + (yc - pr) / w).alias("__z")
         )
         g = moments(rows, ["__one", *x, "__z"], "__v", by=absorb).persist()
-        full, _ = within_sums(g, p + 2)
+        full, _, _ = within_sums(g, p + 2)
         hess, rhs = full[:p, :p], full[:p, p]
         if kept is None:
             kept = drop_aliased(hess)
         new = np.zeros(p)
         new[kept] = np.linalg.solve(hess[np.ix_(kept, kept)], rhs[kept])
         # Back substitution of each effect; one row per group, cut from its history every round.
-        left = F.col("m")[z_at] - sum((F.col("m")[1 + i] * F.lit(float(new[i])) for i in range(p)), F.lit(0.0))
-        effects = checkpointed(g.select(absorb, (left / F.col("m")[0]).alias("__alpha")))
+        left = " - ".join([f"m[{z_at}]", *[f"m[{1 + i}] * ({float(new[i])!r}D)" for i in range(p)]])
+        effects = checkpointed(g.select(absorb, F.expr(f"({left}) / m[0]").alias("__alpha")))
         g.unpersist()
         change = np.max(np.abs(new - b))
         b = new

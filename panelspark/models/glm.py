@@ -15,7 +15,7 @@ from .moments import moments, symmetric
 
 def poisson_glm(
     df: DataFrame, y: str, terms: Sequence[Term], offset: str | None = None, quasi: bool = True,
-    tol: float = 1e-9, max_iter: int = 50,
+    tol: float = 1e-7, max_iter: int = 50,
 ) -> Fit:
     """Iteratively reweighted least squares; each round is one aggregation over the same cached rows.
 

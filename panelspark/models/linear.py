@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .design import INTERCEPT, Term, build_design, drop_aliased
 from .fit import Fit
@@ -26,11 +27,9 @@ def ols(df: DataFrame, y: str, terms: Sequence[Term], weights: str | None = None
         groups = 0
     else:
         k = len(d.xcols) + 2
-        groups_df = moments(d.data, ["__one", *d.xcols, "__y"], "__w" if weights else None, by=absorb)
-        groups_df = groups_df.persist()
-        full, _ = within_sums(groups_df, k)
-        groups = groups_df.count()
-        groups_df.unpersist()
+        per_group = moments(d.data, ["__one", *d.xcols, "__y"], "__w" if weights else None, by=absorb)
+        full, _, (groups,) = within_sums(per_group.withColumn("__g", F.lit(1.0)), k, extra=["__g"])
+        groups = int(groups)
     gram, xty, yty = full[:-1, :-1], full[:-1, -1], full[-1, -1]
     kept = drop_aliased(gram)
     bread = np.linalg.inv(gram[np.ix_(kept, kept)])

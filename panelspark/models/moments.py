@@ -44,12 +44,10 @@ def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None, by: s
     keys = [by] if by else []
     pairs = triangle_pairs(len(cols))
     if len(pairs) + len(extra) <= MAX_SQL_SUMS:
-        def product(i: int, j: int):
-            p = F.col(cols[i]) * F.col(cols[j])
-            return p * F.col(weight) if weight else p
-
-        sums = [F.sum(product(i, j)) for i, j in pairs] + [F.sum(c) for c in extra]
-        return df.groupBy(*keys).agg(F.array(*sums).alias("m"))
+        # One parsed expression: building hundreds of Column objects costs more than the sums.
+        w = f" * `{weight}`" if weight else ""
+        sums = [f"sum(`{cols[i]}` * `{cols[j]}`{w})" for i, j in pairs] + [f"sum(`{c}`)" for c in extra]
+        return df.groupBy(*keys).agg(F.expr(f"array({', '.join(sums)})").alias("m"))
     parts = _partial_products(df, list(cols), weight, by, list(extra))
     return sum_vectors(parts, "m", keys)
 
@@ -104,25 +102,30 @@ def _partial_products(df: DataFrame, cols: list[str], weight: str | None, by: st
     return df.select(*names).mapInPandas(run, T.StructType(fields))
 
 
-def within_sums(groups: DataFrame, k: int, scale: str | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sum over groups of scale * (m_ij - m_0i m_0j / m_00) and of scale * m_0i, for i, j >= 1.
+def within_sums(
+    groups: DataFrame, k: int, scale: str | None = None, extra: Sequence[str] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sum over groups of scale * (m_ij - m_0i m_0j / m_00), of scale * m_0i, for i, j >= 1, and of `extra`.
 
     Column 0 of the moments is the constant, so the first sum is the cross product after each
-    group's (weighted) means are taken out.
+    group's (weighted) means are taken out. One job.
     """
-    s = F.col(scale) if scale else F.lit(1.0)
     pairs = [(i, j) for i in range(1, k) for j in range(i, k)]
-    at = lambda i, j: F.col("m")[triangle_at(i, j, k)]
-    if len(pairs) + k - 1 <= MAX_SQL_SUMS:
-        exprs = [F.sum(s * (at(i, j) - at(0, i) * at(0, j) / at(0, 0))) for i, j in pairs]
-        exprs += [F.sum(s * at(0, i)) for i in range(1, k)]
-        total = groups.agg(F.array(*exprs).alias("m")).head()["m"]
+    s = f"`{scale}` * " if scale else ""
+    at = lambda i, j: f"m[{triangle_at(i, j, k)}]"
+    if len(pairs) + k - 1 + len(extra) <= MAX_SQL_SUMS:
+        sums = [f"sum({s}({at(i, j)} - {at(0, i)} * {at(0, j)} / m[0]))" for i, j in pairs]
+        sums += [f"sum({s}{at(0, i)})" for i in range(1, k)] + [f"sum(`{c}`)" for c in extra]
+        total = groups.agg(F.expr(f"array({', '.join(sums)})").alias("m")).head()["m"]
     else:
+        names = list(extra)
+
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first = [triangle_at(0, i, k) for i in range(1, k)]
             rest = [triangle_at(i, j, k) for i, j in pairs]
             left, right = [i - 1 for i, _ in pairs], [j - 1 for _, j in pairs]
-            acc = np.zeros(len(pairs) + k - 1)
+            last = len(pairs) + k - 1
+            acc = np.zeros(last + len(names))
             for pdf in batches:
                 if not len(pdf):
                     continue
@@ -130,11 +133,14 @@ def within_sums(groups: DataFrame, k: int, scale: str | None = None) -> tuple[np
                 w = pdf["s"].to_numpy(dtype=float)[:, None]
                 lin = m[:, first]
                 acc[: len(pairs)] += (w * (m[:, rest] - lin[:, left] * lin[:, right] / m[:, :1])).sum(axis=0)
-                acc[len(pairs):] += (w * lin).sum(axis=0)
+                acc[len(pairs):last] += (w * lin).sum(axis=0)
+                acc[last:] += pdf[names].to_numpy(dtype=float).sum(axis=0)
             yield pd.DataFrame({"m": [acc.tolist()]})
 
-        parts = groups.select("m", s.alias("s")).mapInPandas(run, "m array<double>")
+        weight = F.col(scale) if scale else F.lit(1.0)
+        parts = groups.select("m", weight.alias("s"), *names).mapInPandas(run, "m array<double>")
         total = sum_vectors(parts, "m").head()["m"]
     if total is None or total[0] is None:
         raise ValueError("no complete rows to fit")
-    return symmetric(total[: len(pairs)], k - 1), np.asarray(total[len(pairs):], dtype=float)
+    rest = np.asarray(total[len(pairs):], dtype=float)
+    return symmetric(total[: len(pairs)], k - 1), rest[: k - 1], rest[k - 1:]

@@ -51,7 +51,8 @@ def mean_of_sums(df: DataFrame, inner: Sequence[str], outer: Sequence[str], valu
 def _bin_no(x: Column, lo: Column, hi: Column, bins: int) -> Column:
     width = (hi - lo) / F.lit(bins - 1)
     raw = F.ceil(F.try_divide(x - lo, width) + F.lit(0.5))
-    return F.coalesce(F.greatest(F.least(raw, F.lit(bins)), F.lit(1)), F.lit(1)).cast("int")
+    # A constant column has no width: everything is in the first bin.
+    return F.when(width > 0, F.greatest(F.least(raw, F.lit(bins)), F.lit(1))).otherwise(F.lit(1)).cast("int")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:

@@ -25,7 +25,10 @@ def range_splits(df: DataFrame, col: str, ranges: int | None = None) -> list[flo
 
 
 def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None) -> DataFrame:
-    """(by, value, cnt, before): `before` counts the group's smaller values. Nulls are left out."""
+    """(by, value, cnt, before, n): `before` counts the group's smaller values, `n` all its values.
+
+    Nulls are left out.
+    """
     by = list(by)
     d = df.select(*by, F.col(col).cast("double").alias("value")).filter(F.col("value").isNotNull())
     splits = splits or range_splits(d, "value")
@@ -36,18 +39,21 @@ def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: lis
     keys = [*by, "__range"]
     counts = d.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     inside = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
     # One row per group and range: at most len(splits) rows per group meet in one window.
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = totals.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
-    return counts.join(offsets, keys).select(*by, "value", "cnt", (F.col("__in") + F.col("__off")).alias("before"))
+    totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("__n"))
+    offsets = totals.select(
+        *keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"), F.sum("__n").over(Window.partitionBy(*by)).alias("n")
+    )
+    counts = counts.withColumn("__in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
+    before = (F.col("__in") + F.col("__off")).alias("before")
+    return counts.join(offsets, keys).select(*by, "value", "cnt", before, "n")
 
 
 def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """(by, value, cnt, rank) with tied values sharing their mean rank."""
     pos = value_positions(df, col, by)
-    return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).drop("before")
+    return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).drop("before", "n")
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None) -> DataFrame:
@@ -55,20 +61,16 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     by = list(by)
     names = list(names or [f"q{round(100 * p)}" for p in probs])
     pos = value_positions(df, col, by)
-    sizes = pos.groupBy(*by).agg(F.sum("cnt").alias("__n"))
-    pos = pos.join(sizes, by) if by else pos.withColumn("__n", sizes.select("__n").scalar())
     aggs: list[Column] = []
     for i, p in enumerate(probs):
-        h = (F.col("__n") - 1) * F.lit(float(p))
-        for tag, k in (("lo", F.floor(h)), ("hi", F.ceil(h))):
-            holds = (F.col("before") <= k) & (k < F.col("before") + F.col("cnt"))
-            aggs.append(F.max(F.when(holds, F.col("value"))).alias(f"__{tag}{i}"))
-    picked = pos.groupBy(*by).agg(F.max("__n").alias("__n"), *aggs)
+        for tag, cut in (("lo", "floor"), ("hi", "ceil")):
+            k = f"{cut}((n - 1) * {float(p)!r}D)"
+            aggs.append(F.expr(f"max(CASE WHEN before <= {k} AND {k} < before + cnt THEN value END)").alias(f"__{tag}{i}"))
+    picked = pos.groupBy(*by).agg(F.max("n").alias("n"), *aggs)
     out = []
     for i, (p, name) in enumerate(zip(probs, names, strict=True)):
-        h = (F.col("__n") - 1) * F.lit(float(p))
-        lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        out.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
+        h = f"(n - 1) * {float(p)!r}D"
+        out.append(F.expr(f"__lo{i} + ({h} - floor({h})) * (__hi{i} - __lo{i})").alias(name))
     return picked.select(*by, *out)
 
 

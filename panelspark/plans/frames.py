@@ -40,7 +40,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.folder, name)
+        table = read_table(self.spark, self.folder, name)
+        self.__dict__[name] = table  # the footer is read once
+        return table
 
     def area_orders(self, within: tuple[str, str] | None = None) -> DataFrame:
         """Orders with the area code and calendar columns of their customer, optionally of one date range."""
