@@ -48,7 +48,7 @@ def _cluster_moments(fit: Fit, cluster: str) -> tuple[DataFrame, int]:
     """(__cl, m): upper triangle of [Q, e]'[Q, e] per cluster, and the width of Q."""
     if fit.absorb is None:
         rows, q = _working_rows(fit, cluster)
-        return moments(rows, [*q, "__e"], by="__cl"), len(q)
+        return moments(rows, [*q, "__e"], by=["__cl"]), len(q)
     if fit.family != "gaussian" or fit.design.weighted or cluster != fit.absorb:
         raise ValueError("with absorbed effects, clusters must be the absorbed groups of an unweighted linear model")
     # Effects nested in clusters: the within-group design gives the same correction as coded dummies.
@@ -56,7 +56,7 @@ def _cluster_moments(fit: Fit, cluster: str) -> tuple[DataFrame, int]:
     rows = fit.design.data.withColumn("__cl", F.col(cluster)).withColumn(
         "__e", F.col("__y") - linear_predictor(fit.xcols, fit.coef)
     )
-    g = moments(rows, ["__one", *fit.xcols, "__e"], by="__cl")
+    g = moments(rows, ["__one", *fit.xcols, "__e"], by=["__cl"])
     within = [
         f"m[{triangle_at(i, j, k)}] - m[{triangle_at(0, i, k)}] * m[{triangle_at(0, j, k)}] / m[0]"
         for i in range(1, k) for j in range(i, k)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 from .design import Term, build_design, drop_aliased, linear_predictor
 from .fit import Fit
-from .moments import moments, triangle_pairs, within_sums
+from .moments import triangle_pairs, within_sums
+from .spread import spread_rows
 
 
 def fe_poisson(
@@ -21,19 +22,20 @@ def fe_poisson(
     """Quasi-Poisson with absorbed group effects.
 
     Given the slopes, a group's effect is log(sum y / sum exp(x b)), so Newton steps on the slopes need
-    only per-group sums: no effect column is ever joined to the rows while iterating. Groups whose
+    only per-group sums: no effect column is ever joined to the rows while iterating, and rows are
+    shuffled once. Groups whose
     outcome sums to zero carry no information on the slopes; they are left out and counted.
     """
     d = build_design(df, y, terms, intercept=False, offset=offset)
     x, p = d.xcols, len(d.xcols)
-    sums = d.data.agg(*[F.sum(F.col("__y") * F.col(c)).alias(c) for c in x]).head()
+    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y", "__off"), absorb)
+    sums = spread.rows.agg(*[F.sum(F.col("__y") * F.col(c)).alias(c) for c in x]).head()
     sxy = np.array([sums[c] for c in x], dtype=float)
     n_pairs = len(triangle_pairs(p + 1))
 
     def evaluate(b: np.ndarray):
         e = F.exp(linear_predictor(x, b) + F.col("__off"))
-        rows = d.data.select(absorb, "__one", *x, "__y", e.alias("__e"))
-        g = moments(rows, ["__one", *x], "__e", by=absorb, extra=["__y"])
+        g = spread.select("__one", *x, "__y", e.alias("__e")).group_moments(["__one", *x], "__e", extra=["__y"])
         total = f"m[{n_pairs}]"
         g = g.filter(f"{total} > 0").selectExpr("m", f"{total} / m[0] AS __s", f"{total} * ln(m[0]) AS __ll", "1D AS __g")
         hess, mean, (log_norm, groups) = within_sums(g, p + 1, scale="__s", extra=["__ll", "__g"])
@@ -71,6 +73,7 @@ def fe_poisson(
         F.sum(F.when(informative, F.col("n"))).alias("n"),
         F.count_if(~informative).alias("dropped"),
     ).head()
+    spread.release()
     d.n = int(s["n"])
     df_resid = d.n - len(kept) - groups
     effects = per_group.filter(informative).select(absorb, F.log(F.col("Y") / F.col("E")).alias("__alpha"))
@@ -104,16 +107,15 @@ def fe_logit(
     d.n = int(c["n"])
     effects = groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha"))
     effects = checkpointed(effects)
+    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y"), absorb)
     b, kept = np.zeros(p), None
     z_at = p + 1  # moment columns: constant, x..., working response
     for _ in range(max_iter):
         eta = F.col("__alpha") + linear_predictor(x, b)
         pr = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         w = F.greatest(pr * (1 - pr), F.lit(1e-12))
-        rows = d.data.join(effects, absorb).select(
-            absorb, "__one", *x, w.alias("__v"), (eta + (yc - pr) / w).alias("__z")
-        )
-        g = moments(rows, ["__one", *x, "__z"], "__v", by=absorb).persist()
+        work = spread.join_groups(effects).select("__one", *x, w.alias("__v"), (eta + (yc - pr) / w).alias("__z"))
+        g = work.group_moments(["__one", *x, "__z"], "__v").persist()
         full, _, _ = within_sums(g, p + 2)
         hess, rhs = full[:p, :p], full[:p, p]
         if kept is None:
@@ -134,7 +136,8 @@ def fe_logit(
     # log(1 + exp(-s eta)) for the observed side s, without overflow
     s_eta = F.when(yc > 0.5, eta).otherwise(-eta)
     dev = F.log1p(F.exp(-F.abs(s_eta))) + F.greatest(-s_eta, F.lit(0.0))
-    total = d.data.join(effects, absorb).agg((2 * F.sum(dev)).alias("dev")).head()["dev"]
+    total = spread.join_groups(effects).rows.agg((2 * F.sum(dev)).alias("dev")).head()["dev"]
+    spread.release()
     stats = {"deviance": total, "groups": c["kept"], "groups_dropped": c["dropped"]}
     return Fit(
         "binomial", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), 1.0, d.n - len(kept) - c["kept"],

@@ -27,7 +27,7 @@ def ols(df: DataFrame, y: str, terms: Sequence[Term], weights: str | None = None
         groups = 0
     else:
         k = len(d.xcols) + 2
-        per_group = moments(d.data, ["__one", *d.xcols, "__y"], "__w" if weights else None, by=absorb)
+        per_group = moments(d.data, ["__one", *d.xcols, "__y"], "__w" if weights else None, by=[absorb])
         full, _, (groups,) = within_sums(per_group.withColumn("__g", F.lit(1.0)), k, extra=["__g"])
         groups = int(groups)
     gram, xty, yty = full[:-1, :-1], full[:-1, -1], full[-1, -1]

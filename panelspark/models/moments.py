@@ -39,16 +39,16 @@ def symmetric(m, k: int) -> np.ndarray:
     return out
 
 
-def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None, by: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
+def moments(df: DataFrame, cols: Sequence[str], weight: str | None = None, by: Sequence[str] = (), extra: Sequence[str] = ()) -> DataFrame:
     """One row per group (or one in all): `by`, `m`."""
-    keys = [by] if by else []
+    keys = list(by)
     pairs = triangle_pairs(len(cols))
     if len(pairs) + len(extra) <= MAX_SQL_SUMS:
         # One parsed expression: building hundreds of Column objects costs more than the sums.
         w = f" * `{weight}`" if weight else ""
         sums = [f"sum(`{cols[i]}` * `{cols[j]}`{w})" for i, j in pairs] + [f"sum(`{c}`)" for c in extra]
         return df.groupBy(*keys).agg(F.expr(f"array({', '.join(sums)})").alias("m"))
-    parts = _partial_products(df, list(cols), weight, by, list(extra))
+    parts = _partial_products(df, list(cols), weight, keys, list(extra))
     return sum_vectors(parts, "m", keys)
 
 
@@ -58,17 +58,15 @@ def sum_vectors(df: DataFrame, col: str, keys: Sequence[str] = ()) -> DataFrame:
     return df.groupBy(*keys).agg(vector_to_array(total).alias(col))
 
 
-def _partial_products(df: DataFrame, cols: list[str], weight: str | None, by: str | None, extra: list[str]) -> DataFrame:
+def _partial_products(df: DataFrame, cols: list[str], weight: str | None, by: list[str], extra: list[str]) -> DataFrame:
     k = len(cols)
     width = k * (k + 1) // 2 + len(extra)
     held = max(1, _MAX_HELD // width)
-    names = ([by] if by else []) + list(dict.fromkeys([*cols, *([weight] if weight else []), *extra]))
-    fields = [T.StructField("m", T.ArrayType(T.DoubleType()))]
-    if by:
-        fields.insert(0, T.StructField(by, df.schema[by].dataType))
+    names = by + list(dict.fromkeys([*cols, *([weight] if weight else []), *extra]))
+    fields = [T.StructField(b, df.schema[b].dataType) for b in by] + [T.StructField("m", T.ArrayType(T.DoubleType()))]
 
     def emit(acc: dict) -> pd.DataFrame:
-        out = {by: list(acc)} if by else {}
+        out = {b: [key[i] for key in acc] for i, b in enumerate(by)}
         out["m"] = [v.tolist() for v in acc.values()]
         return pd.DataFrame(out)
 
@@ -82,14 +80,17 @@ def _partial_products(df: DataFrame, cols: list[str], weight: str | None, by: st
             wx = x * pdf[weight].to_numpy(dtype=float)[:, None] if weight else x
             ex = pdf[extra].to_numpy(dtype=float)
             if by:
-                codes, uniques = pd.factorize(pdf[by], use_na_sentinel=False)
+                grouped = pdf.groupby(by, sort=False, dropna=False)
+                codes = grouped.ngroup().to_numpy()
+                heads = pdf[by].iloc[np.unique(codes, return_index=True)[1]]
+                uniques = list(heads.itertuples(index=False, name=None))
                 order = np.argsort(codes, kind="stable")
                 ends = np.cumsum(np.bincount(codes, minlength=len(uniques)))
                 starts = np.concatenate([[0], ends[:-1]])
                 x, wx, ex = x[order], wx[order], ex[order]
                 groups = zip(uniques, starts, ends)
             else:
-                groups = [(None, 0, len(x))]
+                groups = [((), 0, len(x))]
             for key, s, e in groups:
                 v = np.concatenate([(wx[s:e].T @ x[s:e])[upper], ex[s:e].sum(axis=0)])
                 acc[key] = acc[key] + v if key in acc else v

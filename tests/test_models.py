@@ -216,3 +216,34 @@ def test_scaling_and_partitioning_do_not_change_the_fit(panel):
     assert sums["sigma"] == pytest.approx(np.sqrt((w * e * e).sum() / (len(w) - 3)), rel=1e-9)
     ybar = (w * pdf.y).sum() / w.sum()
     assert sums["r2"] == pytest.approx(1 - (w * e * e).sum() / (w * (pdf.y - ybar) ** 2).sum(), rel=1e-9)
+
+
+def test_hot_groups_are_cut_into_parts(spark, monkeypatch):
+    from panelspark.models import spread as sp
+
+    rng = np.random.default_rng(5)
+    g = np.where(np.arange(12000) % 3 == 0, "hot", [f"g{i % 300}" for i in range(12000)])
+    pdf = pd.DataFrame({"g": g, "x": rng.normal(size=12000)})
+    pdf["c"] = rng.poisson(np.exp(0.3 * pdf.x + 0.5)).astype(float)
+    pdf["b"] = (rng.uniform(size=12000) < 1 / (1 + np.exp(-0.5 * pdf.x))).astype(float)
+    df = spark.createDataFrame(pdf)
+    cut = sp.spread_rows(df, "g")
+    assert cut.hot == ["hot"]
+    sizes = cut.rows.filter("g = 'hot'").groupBy("__part").count().toPandas()
+    assert len(sizes) == cut.parts and sizes["count"].max() < 2 * 4000 / cut.parts
+    cut.release()
+    split = [fe_poisson(df, "c", ["x"], absorb="g"), fe_logit(df, "b", ["x"], absorb="g")]
+    monkeypatch.setattr(sp, "spread_rows", lambda d, key: sp.Spread(d.withColumn("__part", pd_zero()), key, [], 2))
+    import panelspark.models.fixed as fixed
+
+    monkeypatch.setattr(fixed, "spread_rows", sp.spread_rows)
+    whole = [fe_poisson(df, "c", ["x"], absorb="g"), fe_logit(df, "b", ["x"], absorb="g")]
+    for a, b in zip(split, whole):
+        assert a["x"] == pytest.approx(b["x"], rel=1e-9)
+        assert np.allclose(a.se, b.se, rtol=1e-6)
+
+
+def pd_zero():
+    from pyspark.sql import functions as F
+
+    return F.lit(0)
