@@ -28,7 +28,7 @@ def fe_poisson(
     """
     d = build_design(df, y, terms, intercept=False, offset=offset)
     x, p = d.xcols, len(d.xcols)
-    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y", "__off"), absorb)
+    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y", "__off"), absorb, d.n)
     sums = spread.rows.agg(*[F.sum(F.col("__y") * F.col(c)).alias(c) for c in x]).head()
     sxy = np.array([sums[c] for c in x], dtype=float)
     n_pairs = len(triangle_pairs(p + 1))
@@ -107,7 +107,7 @@ def fe_logit(
     d.n = int(c["n"])
     effects = groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha"))
     effects = checkpointed(effects)
-    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y"), absorb)
+    spread = spread_rows(d.data.select(absorb, "__one", *x, "__y"), absorb, d.n)
     b, kept = np.zeros(p), None
     z_at = p + 1  # moment columns: constant, x..., working response
     for _ in range(max_iter):

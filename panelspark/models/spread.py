@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .moments import moments, sum_vectors
 
 PART = "__part"
+ROWS_PER_PART = 200_000
+SMALL_GROUP = 1000  # never worth cutting
 
 
 @dataclass
@@ -26,39 +28,45 @@ class Spread:
     hot: list
     parts: int
 
+    @property
+    def keys(self) -> list[str]:
+        """Columns the rows are partitioned by."""
+        return [self.key, PART] if self.hot else [self.key]
+
     def select(self, *cols) -> Spread:
-        return Spread(self.rows.select(self.key, PART, *cols), self.key, self.hot, self.parts)
+        return Spread(self.rows.select(*self.keys, *cols), self.key, self.hot, self.parts)
 
     def join_groups(self, groups: DataFrame) -> Spread:
         """Inner join with one row per group; a hot group's row is copied to each of its parts."""
         if self.hot:
             last = F.when(F.col(self.key).isin(self.hot), F.lit(self.parts - 1)).otherwise(F.lit(0))
             groups = groups.withColumn(PART, F.explode(F.sequence(F.lit(0), last)))
-        else:
-            groups = groups.withColumn(PART, F.lit(0))
-        return Spread(self.rows.join(groups, [self.key, PART]), self.key, self.hot, self.parts)
+        return Spread(self.rows.join(groups, self.keys), self.key, self.hot, self.parts)
 
     def group_moments(self, cols: Sequence[str], weight: str | None = None, extra: Sequence[str] = ()) -> DataFrame:
         """(key, m) with one row per group."""
         if not self.hot:
-            return moments(self.rows, cols, weight, [self.key, PART], extra).drop(PART)
+            return moments(self.rows, cols, weight, self.keys, extra)
         is_hot = F.col(self.key).isin(self.hot)
-        cold = moments(self.rows.filter(~is_hot), cols, weight, [self.key, PART], extra).drop(PART)
-        pieces = moments(self.rows.filter(is_hot), cols, weight, [self.key, PART], extra)
+        cold = moments(self.rows.filter(~is_hot), cols, weight, self.keys, extra).drop(PART)
+        pieces = moments(self.rows.filter(is_hot), cols, weight, self.keys, extra)
         return cold.unionByName(sum_vectors(pieces, "m", [self.key]))
 
     def release(self) -> None:
         self.rows.unpersist()
 
 
-def spread_rows(df: DataFrame, key: str, share: float = 0.5) -> Spread:
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def spread_rows(df: DataFrame, key: str, n: int, share: float = 0.5) -> Spread:
+    """Partition the `n` rows of `df` by `key`, in as many parts as they fill."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2, min(most, max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PART))))
     sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    limit = sizes.agg((F.sum("n") * share / parts).alias("limit")).scalar()
-    hot = [r[0] for r in sizes.filter(F.col("n") > F.greatest(limit, F.lit(1000))).select(key).collect()]
-    part = F.lit(0)
+    hot = [r[0] for r in sizes.filter(F.col("n") > max(share * n / parts, SMALL_GROUP)).select(key).collect()]
     if hot:
         others = [c for c in df.columns if c != key]
         part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*others), F.lit(parts)).cast("int")).otherwise(F.lit(0))
-    rows = df.withColumn(PART, part).repartition(parts, key, PART).persist()
-    return Spread(rows, key, hot, parts)
+        rows = df.withColumn(PART, part).repartition(parts, key, PART)
+    else:
+        rows = df.repartition(parts, key)
+    return Spread(rows.persist(), key, hot, parts)

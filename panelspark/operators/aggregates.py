@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_sum
-from .ranks import average_ranks, exact_quantiles
+from .ranks import average_ranks, exact_quantiles, range_splits
 from .reshape import unpivot
 
 
@@ -77,8 +77,9 @@ def histogram_all(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
 
 
 def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    for c in cols:
-        ranks = average_ranks(df, c).select(F.col("value").alias("__v"), F.col("rank").alias(f"__rank_{c}"))
+    rows = df
+    for c, cuts in zip(cols, range_splits(rows, cols)):
+        ranks = average_ranks(rows, c, splits=cuts).select(F.col("value").alias("__v"), F.col("rank").alias(f"__rank_{c}"))
         df = df.join(ranks, F.col(c).cast("double") == F.col("__v"), "left").drop("__v")
     return df
 

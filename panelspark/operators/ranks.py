@@ -16,12 +16,15 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
-def range_splits(df: DataFrame, col: str, ranges: int | None = None) -> list[float]:
-    """Ascending cut points for about equally filled ranges of `col`; bounded by `ranges` numbers."""
+def range_splits(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> list[list[float]]:
+    """Ascending cut points for about equally filled ranges of each column, in one pass.
+
+    They only balance the work; results do not depend on them. At most `ranges` numbers per column.
+    """
     n = ranges or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     probs = [i / n for i in range(1, n)]
-    cuts = df.approxQuantile(col, probs, 1.0 / (4 * n))
-    return [float("-inf"), *sorted(set(cuts)), float("inf")]
+    cuts = df.approxQuantile(list(cols), probs, 1.0 / (4 * n))
+    return [[float("-inf"), *sorted(set(c)), float("inf")] for c in cuts]
 
 
 def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None) -> DataFrame:
@@ -31,7 +34,7 @@ def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: lis
     """
     by = list(by)
     d = df.select(*by, F.col(col).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    splits = splits or range_splits(d, "value")
+    splits = splits or range_splits(d, ["value"])[0]
     if len(splits) > 2:
         d = Bucketizer(splits=splits, inputCol="value", outputCol="__range").transform(d)
     else:
@@ -50,9 +53,9 @@ def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: lis
     return counts.join(offsets, keys).select(*by, "value", "cnt", before, "n")
 
 
-def average_ranks(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
+def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None) -> DataFrame:
     """(by, value, cnt, rank) with tied values sharing their mean rank."""
-    pos = value_positions(df, col, by)
+    pos = value_positions(df, col, by, splits)
     return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).drop("before", "n")
 
 

@@ -227,13 +227,13 @@ def test_hot_groups_are_cut_into_parts(spark, monkeypatch):
     pdf["c"] = rng.poisson(np.exp(0.3 * pdf.x + 0.5)).astype(float)
     pdf["b"] = (rng.uniform(size=12000) < 1 / (1 + np.exp(-0.5 * pdf.x))).astype(float)
     df = spark.createDataFrame(pdf)
-    cut = sp.spread_rows(df, "g")
+    cut = sp.spread_rows(df, "g", 12000)
     assert cut.hot == ["hot"]
     sizes = cut.rows.filter("g = 'hot'").groupBy("__part").count().toPandas()
     assert len(sizes) == cut.parts and sizes["count"].max() < 2 * 4000 / cut.parts
     cut.release()
     split = [fe_poisson(df, "c", ["x"], absorb="g"), fe_logit(df, "b", ["x"], absorb="g")]
-    monkeypatch.setattr(sp, "spread_rows", lambda d, key: sp.Spread(d.withColumn("__part", pd_zero()), key, [], 2))
+    monkeypatch.setattr(sp, "spread_rows", lambda d, key, n: sp.Spread(d, key, [], 2))
     import panelspark.models.fixed as fixed
 
     monkeypatch.setattr(fixed, "spread_rows", sp.spread_rows)
@@ -241,9 +241,3 @@ def test_hot_groups_are_cut_into_parts(spark, monkeypatch):
     for a, b in zip(split, whole):
         assert a["x"] == pytest.approx(b["x"], rel=1e-9)
         assert np.allclose(a.se, b.se, rtol=1e-6)
-
-
-def pd_zero():
-    from pyspark.sql import functions as F
-
-    return F.lit(0)
