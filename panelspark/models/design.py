@@ -33,6 +33,8 @@ class Factor:
             if len(found) > MAX_LEVELS:
                 raise ValueError(f"{self.col} has over {MAX_LEVELS} levels: absorb it instead of coding dummies")
             levels = sorted(r[0] for r in found)
+        if not levels:
+            raise ValueError("no complete rows to fit")
         base = levels[0] if self.base is None else self.base
         if base not in levels:
             raise ValueError(f"base level {base!r} does not occur in {self.col}")
@@ -98,10 +100,11 @@ class Design:
 
 def build_design(
     df: DataFrame, y: str, terms: Sequence[Term], intercept: bool = True, weights: str | None = None,
-    offset: str | None = None, center_y: bool = False,
+    offset: str | None = None, center_y: bool = False, cache: bool = True,
 ) -> Design:
+    """`cache=False` reads the input anew in each pass, which is right for a plain table scan."""
     owned = []
-    if not df.is_cached:
+    if cache and not df.is_cached:
         df = df.persist()  # read several times: knots, means, sums, residuals
         owned.append(df)
     inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset) if c]

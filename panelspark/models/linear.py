@@ -13,13 +13,15 @@ from .fit import Fit
 from .moments import moments, symmetric, within_sums
 
 
-def ols(df: DataFrame, y: str, terms: Sequence[Term], weights: str | None = None, absorb: str | None = None) -> Fit:
+def ols(
+    df: DataFrame, y: str, terms: Sequence[Term], weights: str | None = None, absorb: str | None = None, cache: bool = True
+) -> Fit:
     """Linear model from one cross-product aggregation.
 
     `absorb` takes out one set of group effects without coding dummies, whatever their number: the
     within-group cross products come from per-group sums, never from demeaned rows.
     """
-    d = build_design(df, y, terms, intercept=absorb is None, weights=weights, center_y=True)
+    d = build_design(df, y, terms, intercept=absorb is None, weights=weights, center_y=True, cache=cache)
     if absorb is None:
         k = len(d.xcols) + 1
         row = moments(d.data, [*d.xcols, "__y"], "__w" if weights else None).head()["m"]
@@ -51,9 +53,9 @@ def wls(df: DataFrame, y: str, terms: Sequence[Term], weights: str, absorb: str
     return ols(df, y, terms, weights=weights, absorb=absorb)
 
 
-def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def vif(df: DataFrame, cols: Sequence[str], cache: bool = True) -> DataFrame:
     """Variance inflation of each regressor: the diagonal of the inverse correlation matrix."""
-    d = build_design(df, cols[0], list(cols))
+    d = build_design(df, cols[0], list(cols), cache=cache)
     k = len(cols) + 1
     g = symmetric(moments(d.data, d.xcols).head()["m"], k)
     cov = g[1:, 1:] - np.outer(g[0, 1:], g[0, 1:]) / g[0, 0]

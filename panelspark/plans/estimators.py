@@ -19,7 +19,7 @@ DID_SQL = sql_on(
     body="SELECT term, round(estimate, 5) AS estimate, round(se, 5) AS se FROM did",
     extra={
         "cells": "SELECT exposed, coalclose, avg(asthma_count) AS m, count(*) AS n, var_pop(asthma_count) * count(*) AS ss "
-                 "FROM event_panel GROUP BY exposed, coalclose",
+                 "FROM event_panel WHERE exposed IS NOT NULL GROUP BY exposed, coalclose",
         "c": "SELECT max(CASE WHEN exposed = 0 AND coalclose = 0 THEN m END) AS m00, max(CASE WHEN exposed = 0 AND coalclose = 1 THEN m END) AS m01, "
              "max(CASE WHEN exposed = 1 AND coalclose = 0 THEN m END) AS m10, max(CASE WHEN exposed = 1 AND coalclose = 1 THEN m END) AS m11, "
              "max(CASE WHEN exposed = 0 AND coalclose = 0 THEN 1.0 / n END) AS v00, max(CASE WHEN exposed = 0 AND coalclose = 1 THEN 1.0 / n END) AS v01, "
@@ -188,7 +188,7 @@ _CLUSTERED_MEAN = """
 @query("m7_cluster_se_mean", _CLUSTERED_MEAN)
 def clustered_mean(t: Tables):
     rows = t.area_orders().select("zip", (F.col("o_totalprice") / 1000).alias("price"))
-    fit = ols(rows, "price", [])
+    fit = ols(rows, "price", [], cache=False)
     out = cluster_se(fit, "zip").select(
         F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("df", 5).alias("df")
     )
@@ -248,7 +248,7 @@ def intervals(t: Tables):
     "SELECT unnest(['l_quantity', 'l_extendedprice']) AS term, round(1 / (1 - power(corr(l_quantity, l_extendedprice), 2)), 6) AS vif FROM lineitem",
 )
 def inflation(t: Tables):
-    return vif(t.lineitem.select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"]).withColumn("vif", F.round("vif", 6))
+    return vif(t.lineitem.select("l_quantity", "l_extendedprice"), ["l_quantity", "l_extendedprice"], cache=False).withColumn("vif", F.round("vif", 6))
 
 
 @query(
@@ -300,7 +300,7 @@ def response_scale(t: Tables):
               / regr_sxx(l_extendedprice, l_quantity)) / (count(*) - 2)), 6) FROM lineitem""",
 )
 def model_summary(t: Tables):
-    fit = ols(t.lineitem.select("l_extendedprice", "l_quantity"), "l_extendedprice", ["l_quantity"])
+    fit = ols(t.lineitem.select("l_extendedprice", "l_quantity"), "l_extendedprice", ["l_quantity"], cache=False)
     out = fit.summary().filter(F.col("name").isin("n", "r2", "df_resid", "sigma")).withColumn("value", F.round("value", 6))
     fit.release()
     return out

@@ -132,10 +132,10 @@ def predicted_means(t: Tables):
         "r": "SELECT " + ", ".join(
             f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("hyads_diff", "asthma_diff", "RH_diff")
         ) + " FROM k",
-    }, body=" UNION ALL ".join(
+    }, body="SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{a}' AS var1, '{b}' AS var2, round(corr({a}, {b}), 2) AS value FROM r"
         for i, a in enumerate(("hyads_diff", "asthma_diff", "RH_diff")) for b in ("hyads_diff", "asthma_diff", "RH_diff")[i:]
-    )),
+    ) + ") WHERE value IS NOT NULL"),
 )
 def heat_map_cells(t: Tables):
     d = pre_post_differences(t).select("hyads_diff", "asthma_diff", "RH_diff").persist()

@@ -391,19 +391,19 @@ def tiles(t: Tables):
 
 @query(
     "f4_lag_by_person",
-    sql_on("person_months", body="SELECT uid, t, round(lag(Rscu) OVER (PARTITION BY uid ORDER BY t), 8) AS prev FROM person_months"),
+    sql_on("person_months", body=f"SELECT uid, t, {settled_sql('lag(Rscu) OVER (PARTITION BY uid ORDER BY t)', 8)} AS prev FROM person_months"),
 )
 def lagged(t: Tables):
-    return lag_by(t.person_months(), "uid", "t", "Rscu", "prev").select("uid", "t", F.round("prev", 8).alias("prev"))
+    return lag_by(t.person_months(), "uid", "t", "Rscu", "prev").select("uid", "t", settled("prev", 8).alias("prev"))
 
 
 @query(
     "f4_lag_across_persons",
-    sql_on("person_months", body="SELECT uid, t, round(lag(Rscu) OVER (ORDER BY uid, t), 8) AS prev FROM person_months"),
+    sql_on("person_months", body=f"SELECT uid, t, {settled_sql('lag(Rscu) OVER (ORDER BY uid, t)', 8)} AS prev FROM person_months"),
 )
 def lagged_literal(t: Tables):
     d = lag_by(t.person_months().select("uid", "t", "Rscu"), "uid", "t", "Rscu", "prev", across=True)
-    return d.select("uid", "t", F.round("prev", 8).alias("prev"))
+    return d.select("uid", "t", settled("prev", 8).alias("prev"))
 
 
 @query("f5_entry_exit", sql_on("person_days", body="SELECT uid, min(Date) AS entry, max(Date) AS exit FROM person_days GROUP BY uid"))
