@@ -15,6 +15,7 @@ from ..functions.bases import harmonics, natural_spline_basis
 from ..operators.ranks import exact_quantiles
 
 MAX_LEVELS = 500
+ROWS_PER_TASK = 20_000
 INTERCEPT = "(Intercept)"
 
 
@@ -134,6 +135,9 @@ def build_design(
     added["__w"] = F.col(weights).cast("double") / F.lit(float(stats["wbar"])) if weights else F.lit(1.0)
     added["__off"] = F.col(offset).cast("double") if offset else F.lit(0.0)
     data = df.select("*", *[c.alias(n) for n, c in added.items()])
+    # A small panel in hundreds of shuffle partitions would pay for a task each in every round;
+    # with more rows than this fills, it changes nothing.
+    data = data.coalesce(-(-int(stats["n"]) // ROWS_PER_TASK))
     names = [n for n, _ in pairs]
     back = np.diag(1.0 / s)
     if intercept:
