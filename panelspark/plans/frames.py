@@ -80,9 +80,19 @@ class Tables:
             F.quarter("date_month").alias("quarter"), "uID", "exposure",
         )
 
+    def area_quarters(self) -> DataFrame:
+        """Outcome count and the four weather means per area and quarter, from one join and one aggregation."""
+        return self.area_orders().groupBy("zip", "year", "qtr", "yrq").agg(
+            F.count(F.lit(1)).alias("asthma_count"),
+            (F.avg("o_totalprice") / 1000).alias("RH_Quarter"),
+            (F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100).alias("Pres_Quarter"),
+            F.avg(F.dayofmonth("day").cast("double")).alias("WS_Quarter"),
+            (F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")) * 100).alias("Temp_Quarter"),
+        )
+
     def counts(self) -> DataFrame:
         """(zip, yrq, asthma_count): outcome count per area and quarter."""
-        return self.area_orders().groupBy("zip", "yrq").agg(F.count(F.lit(1)).alias("asthma_count"))
+        return self.area_quarters().select("zip", "yrq", "asthma_count")
 
     def demographics(self) -> DataFrame:
         """(zcta5a, year, totpop, pov_p, uninsur_p, black_p): customers active in an area and year."""
@@ -99,13 +109,8 @@ class Tables:
 
     def weather(self) -> DataFrame:
         """(Zip2010, Yr, qtrSeq, four quarterly means)."""
-        return self.area_orders().groupBy(
-            F.col("zip").alias("Zip2010"), F.col("year").alias("Yr"), F.col("qtr").alias("qtrSeq")
-        ).agg(
-            (F.avg("o_totalprice") / 1000).alias("RH_Quarter"),
-            (F.avg((F.col("o_orderstatus") == "F").cast("double")) * 100).alias("Pres_Quarter"),
-            F.avg(F.dayofmonth("day").cast("double")).alias("WS_Quarter"),
-            (F.avg((F.col("o_orderpriority") == "1-URGENT").cast("double")) * 100).alias("Temp_Quarter"),
+        return self.area_quarters().select(
+            F.col("zip").alias("Zip2010"), F.col("year").alias("Yr"), F.col("qtr").alias("qtrSeq"), *WEATHER
         )
 
     def wide(self, within: tuple[str, str] | None = None) -> DataFrame:
@@ -114,9 +119,8 @@ class Tables:
 
     def panel(self) -> DataFrame:
         """Area x quarter panel: exposures, outcome, demographics, weather, time and event steps."""
-        p = left_join(self.wide(), self.counts(), ["zip", "yrq"])
+        p = left_join(self.wide(), self.area_quarters(), ["zip", "year", "qtr", "yrq"])
         p = left_join(p, self.demographics(), {"zip": "zcta5a", "year": "year"})
-        p = left_join(p, self.weather(), {"zip": "Zip2010", "year": "Yr", "qtr": "qtrSeq"})
         p = row_total(p, "tot_exp", EXPOSURE_UNITS)
         p = row_total(p, "hyads_tot", CLOSING_UNITS)
         p = group_sequence(p, "zip", "yrq")
