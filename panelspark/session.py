@@ -9,21 +9,9 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-# A generated method above 8000 bytes of bytecode is never compiled by the JVM and runs interpreted;
-# the wide sums of a regression reach that size, and run faster outside whole-stage code.
-SQL_SETTINGS = {"spark.sql.codegen.hugeMethodLimit": "8000"}
-
-
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the SQL settings the wide aggregations profit from to a running session."""
-    for key, value in SQL_SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
-
-
 def local_session(cpus: int | str = 8, app: str = "panelspark", driver_memory: str = "8g") -> SparkSession:
     """A `local[N]` session for tests and the benchmark; clusters bring their own session."""
-    return tune(
+    return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
