@@ -30,6 +30,8 @@ from .words import blocks, mix, shingles, utf8
 SHINGLE = 5
 SKETCH = 32
 COMMON = 10
+#: Members outside a list's largest component from which on its members are looked up by their whole sets.
+LONG = 16
 
 
 def _sets(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -80,7 +82,8 @@ def _index(classes: DataFrame) -> DataFrame:
     met = met.withColumn("rank", rank).withColumn("met", F.count("*").over(Window.partitionBy("node")))
     need = F.when(F.col("n") > SKETCH, F.lit(COMMON)).otherwise(F.expr("int((3 * n + 3) div 4)"))
     # the m - met values that no other class has come before all others in the order
-    return met.filter(F.col("rank") + F.col("m") - F.col("met") <= F.col("m") - need + 1).select("value", "node", "n", "copies")
+    met = met.filter(F.col("rank") + F.col("m") - F.col("met") <= F.col("m") - need + 1)
+    return met.select("value", "node", "n", "copies", F.col("n").alias("reach"))
 
 
 def _sizes_fit(a: str, b: str) -> F.Column:
@@ -97,16 +100,33 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return joined.filter(F.when(F.size("union") == SKETCH, F.col("both") >= COMMON).otherwise(F.expr("4 * both >= 3 * size(union)"))).select("a", "b")
 
 
+def _whole(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, full): the whole shingle set of each class, from one of its texts."""
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", text_key())
+    texts = texts.join(nodes.select(F.col("node").alias("tk")).distinct(), "tk", "left_semi").dropDuplicates(["tk"])
+    return written(texts.mapInArrow(_full_sets, "node long, full array<long>"), "near-dup-sets")
+
+
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets have a similarity of 0.75 or more."""
-    nodes = pairs.select(F.col("a").alias("tk")).union(pairs.select(F.col("b").alias("tk"))).distinct()
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", text_key()).join(nodes, "tk", "left_semi").dropDuplicates(["tk"])
-    full = written(texts.mapInArrow(_full_sets, "node long, full array<long>"), "near-dup-sets")
+    full = _whole(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
     joined = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
     both = F.size(F.array_intersect("fa", "fb"))
     return joined.select("a", "b", both.alias("both"), F.expr("size(fa) + size(fb)").alias("sum")).filter("100 * both >= 75 * (sum - both)").select("a", "b")
 
 
+def _whole_index(full: DataFrame) -> DataFrame:
+    """The index over whole sets instead of sketches: for each class the n - 3n/4 + 1 values that are rarest among these.
+
+    reach: if two classes first meet at this value, they have at most so many in common (values from here on).
+    """
+    every = full.select("node", F.size("full").cast("long").alias("n"), F.explode("full").alias("value"))
+    shared = every.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    met = every.join(shared, "value")
+    met = met.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))).withColumn("met", F.count("*").over(Window.partitionBy("node")))
+    return met.filter("rank - met <= 1 - int((3 * n + 3) div 4)").select("value", "node", "n", (F.col("met") - F.col("rank") + 1).alias("reach"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, tk, n_shingles, component_id, kept.
 
@@ -128,7 +148,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = checkpointed(_links(checkpointed(_plausible(pairs, classes)), docs))
     found = checkpointed(components(links))
 
-    rest = checkpointed(_plausible(_across(index, found), classes))
+    member = _members(index, found)
+    rest = _across(member.filter(f"outside <= {LONG}"))
+    long = checkpointed(member.filter(f"outside > {LONG}").select("node").distinct())
+    if not long.isEmpty():
+        rest = rest.union(_across(_members(_whole_index(_whole(long, docs)), found))).distinct()
+    rest = checkpointed(_plausible(rest, classes))
     if not rest.isEmpty():
         more = _links(rest, docs)
         found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
@@ -143,15 +168,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def _across(index: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a list whose members are in different components; the list's largest component is only met from outside."""
-    member = index.select("value", "node", "n").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _members(index: DataFrame, found: DataFrame) -> DataFrame:
+    """Lists with members of two or more components: inner marks the list's largest one, outside counts all others."""
+    member = index.select("value", "node", "n", "reach").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = member.groupBy("value", "root").agg(F.count("*").alias("members"))
-    per = per.groupBy("value").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1")
-    member = checkpointed(member.join(per, "value").select("value", "node", "n", "root", (F.col("root") == F.col("main")).alias("inner")))
-    a = member.filter("not inner").select("value", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "root")))
-    b = member.select("value", "inner", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "root")))
-    met = a.join(b, (a["value"] == b["value"]) & (F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("node_a") < F.col("node_b"))) & _sizes_fit("n_a", "n_b"))
+    per = per.groupBy("value").agg(F.max_by("root", F.struct("members", "root")).alias("main"), (F.sum("members") - F.max("members")).alias("outside")).filter("outside > 0")
+    return checkpointed(member.join(per, "value").select("value", "node", "n", "reach", "root", "outside", (F.col("root") == F.col("main")).alias("inner")))
+
+
+def _across(member: DataFrame) -> DataFrame:
+    """Pairs of a list in different components; the list's largest component is only met from outside."""
+    a = member.filter("not inner").select("value", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "root")))
+    b = member.select("value", "inner", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "root")))
+    met = a.join(b, (a["value"] == b["value"]) & (F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("node_a") < F.col("node_b"))) & F.expr("175 * least(reach_a, reach_b) >= 75 * (n_a + n_b)") & _sizes_fit("n_a", "n_b"))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
