@@ -1,6 +1,6 @@
 """All queries of this folder: importing the modules registers them."""
 
-from . import near_dup  # noqa: F401
+from . import near_dup, packing, pii, quality, sharding, token_files  # noqa: F401
 from .common import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
