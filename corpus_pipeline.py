@@ -1,13 +1,91 @@
-"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, benchmark decontamination, secrets, packing.
+
+Every stage works on all rows of the one before, keeps the columns of documents (any others too) and lets its operator's
+decision take effect; the last returns the packed pieces. Rows are told apart by their text's fingerprint, so missing or
+repeated ids do no harm. n_chars, where there is such a column, follows the text.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from panelspark.llm.common import text_key, written
+from panelspark.llm.decontaminate import contained_items
+from panelspark.llm.near_dup import near_duplicates
+from panelspark.llm.packing import packed_sequences
+from panelspark.llm.quality import quality
+from panelspark.llm.secrets import secrets
+
+
+def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
+    """The given columns with another text."""
+    size = F.length(text)
+    new = {"text": text, "n_chars": F.when(text.eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(size)} if "n_chars" in columns else {"text": text}
+    kinds = dict(docs.dtypes)
+    return docs.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(c) for c in columns))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go, failing lines go from the others."""
+    packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    kept = quality(packed).filter("kept").select("_row.*", F.col("clean_text").alias("_clean"))
+    return _with_text(kept, docs.columns, F.col("_clean"))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that of the smallest doc_id; of its repeated rows, one.
+
+    Texts without a word are linked with nothing and stay, as do rows of groups in which nobody has a doc_id.
+    """
+    found = near_duplicates(docs)
+    chosen = found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.min("tk").alias("tk"))
+    alone = found.filter("n_shingles = 0 or component_id is null").select("doc_id", "tk").distinct()
+    keep = written(chosen.union(alone).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")), "pipeline-kept")
+    keyed = docs.withColumn("_key", text_key())
+    same = (F.col("_key") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    repeated = found.filter("kept and n_shingles > 0").groupBy("doc_id", "tk").count().filter("count > 1")
+    if not repeated.isEmpty():
+        # rows without words or id are told apart by their place, all others by id and text
+        worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
+        keyed = keyed.withColumn("_n", F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+        keyed = keyed.dropDuplicates(["doc_id", "_key", "_n"])
+    return keyed.join(keep, same, "left_semi").select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = contained_items(docs.select(text_key().alias("doc_id"), "text"), items)
+    leaks = written(leaks.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-leaks")
+    return docs.withColumn("_key", text_key()).join(leaks, "_key", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced by a mark; every document stays."""
+    rest = [c for c in docs.columns if c != "text"]
+    found = secrets(docs.withColumn("_null", F.col("text").isNull()), [*rest, "_null"])
+    found = found.toDF(*rest, "_null", "_candidates", "_secrets", "_clean")
+    text = F.when(~F.col("_null"), F.col("_clean"))
+    out = found.withColumn("text", text)
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left, packed into sequences."""
+    return packed_sequences(docs)
 
-from panelspark.llm.common import written
 
-STAGES: list = []
-#: SQL can't state the stages (trained forest, packing): tests/llm compares them with brute force.
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("secret_scan", secret_stage),
+    ("packing", packing_stage),
+]
+#: SQL can't state the stages (a trained forest, tokens, packing): tests/llm compares them with brute force.
 ORACLE_SQL = None
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, query
 
-#: Characters before a span in which context words count.
+#: Characters before a span, back to the span before it of its kind, in which context words count.
 REACH = 48
 #: Spans of the added kinds need this score; the four base kinds are always kept.
 LEAST_SCORE = 0.5
