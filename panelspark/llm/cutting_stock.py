@@ -16,6 +16,8 @@ STEPS = 256
 MOST_PATTERNS = 4000
 #: How far above the optimum of the linear program to stop.
 CLOSE = 1e-3
+#: Rounds in a row that bring nothing (ties between patterns) before stopping.
+IDLE = 40
 
 
 def bin_edges(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
@@ -63,16 +65,20 @@ def _linear_program(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tup
     columns = np.diag(capacity // sizes).astype(np.float64)
     inverse = np.diag(1.0 / columns.diagonal())
     x = inverse @ demand
+    idle = 0
     for k in range(MOST_PATTERNS):
         dual = inverse.sum(axis=0)
         value, new = _knapsack(sizes, dual, capacity)
-        if value <= 1 + CLOSE:  # by duality no more than that share above the least number of sequences
+        total = x.sum()
+        # no plan needs fewer sequences than total / value
+        if value <= 1 + CLOSE or np.ceil(total / value - 1e-6) >= np.ceil(total - 1e-6) or idle > IDLE:
             break
         move = inverse @ new
         ratio = np.full(m, np.inf)
         np.divide(x, move, out=ratio, where=move > 1e-9)
         out = int(ratio.argmin())
         step = max(0.0, ratio[out])
+        idle = idle + 1 if step * (value - 1) <= 1e-9 * total else 0
         x -= step * move
         x[out] = step
         columns[:, out] = new
