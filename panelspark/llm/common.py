@@ -43,3 +43,12 @@ def parts(spark: SparkSession) -> int:
 def text_key() -> F.Column:
     """64-bit fingerprint of a text; null counts as empty."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """`df` as it is, with a fence for the optimizer: a filter above stays above.
+
+    Pushed below, a condition on a column would take that column's whole expression along, once for each mention at
+    every step of a long chain of array functions; the plan then grows beyond any use.
+    """
+    return df.withColumn("_fence", F.monotonically_increasing_id()).filter("_fence >= 0").drop("_fence")

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, fenced, query
 
 NEGATIVES = 1500
 VARIANTS = 60
@@ -216,7 +216,7 @@ def licenses(docs: DataFrame, model: Model) -> DataFrame:
     out = out.withColumn("_kinds", F.filter(line, lambda x: x["b"] < len(FAMILIES) - 1))
     family = lambda x: F.when((x["probability"] >= model.least) & x["confirmed"], F.get(F.lit(FAMILIES), x["b"])).otherwise(F.lit("unknown"))
     result = F.transform("_kinds", lambda x: F.struct(x["line"].alias("line"), family(x).alias("family"), F.round(x["probability"], 6).alias("probability"), x["confirmed"].alias("confirmed")))
-    return out.withColumn("license_lines", result).drop("_found", "_hit", "_scores", "_best", "_p", "_kinds")
+    return fenced(out.withColumn("license_lines", result).drop("_found", "_hit", "_scores", "_best", "_p", "_kinds"))
 
 
 @query("op1_license_scan")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, fenced, query
 
 #: Characters before a span, back to the span before it of its kind, in which context words count.
 REACH = 48
@@ -121,7 +121,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     spans = F.array_join(F.flatten(F.array(*(_named(k, F.col(f"_{k}")) for k in kinds))), ",")
     likely = F.size(F.filter(F.flatten(F.array(*(F.col(f"_{k}") for k in kinds))), lambda x: x["score"] >= LEAST_SCORE)).cast("long")
     out = out.withColumn("base_sha256", F.sha2(base.cast("binary"), 256)).withColumn("spans", spans).withColumn("n_likely", likely)
-    return out.drop("_text", *(f"_{k}" for k in kinds))
+    return fenced(out.drop("_text", *(f"_{k}" for k in kinds)))
 
 
 @query("op5_personal_data")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, query
+from .common import documents, fenced, query
 
 SYMBOL_SHARE = 0.3
 MARK_SHARE = 0.5
@@ -103,7 +103,7 @@ def quality(docs: DataFrame) -> DataFrame:
     clean = F.array_join(F.transform(F.filter("_lines", lambda x, i: F.get("_bad", i) == 0), lambda x: F.when(x.startswith("\n"), F.regexp_replace(x, r"^\n\d+", "")).otherwise(x)), "\n")
     out = out.withColumn("clean_text", F.when(F.col("text").isNull(), F.lit(None).cast("string")).when((F.col("n_dup_lines") > 0) | (F.col("n_lost_words") > 0), clean).otherwise(F.col("text"))).drop("_all", "_lines", "_bad")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= LOSS * F.col("n_words")))
+    return fenced(out).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("n_lost_words") <= LOSS * F.col("n_words")))
 
 
 @query("op3_quality_rules")
