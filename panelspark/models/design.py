@@ -101,15 +101,20 @@ class Design:
 
 def build_design(
     df: DataFrame, y: str, terms: Sequence[Term], intercept: bool = True, weights: str | None = None,
-    offset: str | None = None, center_y: bool = False, cache: bool = True,
+    offset: str | None = None, center_y: bool = False, cache: bool = True, absorb: str | None = None,
 ) -> Design:
-    """`cache=False` reads the input anew in each pass, which is right for a plain table scan."""
+    """Rows that miss the outcome, a term, the weight, the offset or the absorbed group are left out; NaN is missing.
+
+    `cache=False` reads the input anew in each pass, which is right for a plain table scan.
+    """
     owned = []
     if cache and not df.is_cached:
         df = df.persist()  # read several times: knots, means, sums, residuals
         owned.append(df)
-    inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset) if c]
-    complete = reduce(and_, [F.col(c).isNotNull() for c in dict.fromkeys(inputs)])
+    inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset, absorb) if c]
+    kinds = dict(df.dtypes)
+    there = [F.col(c).isNotNull() & ~F.isnan(c) if kinds.get(c) in ("double", "float") else F.col(c).isNotNull() for c in dict.fromkeys(inputs)]
+    complete = reduce(and_, there)
     df = df.filter(complete)
     pairs: list[tuple[str, Column]] = []
     for t in terms:

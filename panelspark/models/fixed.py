@@ -26,7 +26,7 @@ def fe_poisson(
     shuffled once. Groups whose
     outcome sums to zero carry no information on the slopes; they are left out and counted.
     """
-    d = build_design(df, y, terms, intercept=False, offset=offset)
+    d = build_design(df, y, terms, intercept=False, offset=offset, absorb=absorb)
     x, p = d.xcols, len(d.xcols)
     spread = spread_rows(d.data.select(absorb, "__one", *x, "__y", "__off"), absorb, d.n)
     sums = spread.rows.agg(*[F.sum(F.col("__y") * F.col(c)).alias(c) for c in x]).head()
@@ -53,6 +53,8 @@ def fe_poisson(
             if new_ll >= ll - 1e-9 * (1.0 + abs(ll)):
                 break
             step /= 2.0
+        else:
+            raise ArithmeticError("no step along the slope raises the likelihood")
         b, ll, grad, hess = b + step, new_ll, new_grad, new_hess
         if np.max(np.abs(step)) < tol * (1.0 + np.max(np.abs(b))):
             break
@@ -92,7 +94,7 @@ def fe_logit(
     Slopes and effects move together in Newton steps; the effects are eliminated group by group from
     per-group sums. Groups whose outcome never varies have no finite effect; they are left out and counted.
     """
-    d = build_design(df, y, terms, intercept=False)
+    d = build_design(df, y, terms, intercept=False, absorb=absorb)
     x, p = d.xcols, len(d.xcols)
     yc = F.col("__y")
     groups_all = d.data.groupBy(absorb).agg(

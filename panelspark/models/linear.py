@@ -21,7 +21,7 @@ def ols(
     `absorb` takes out one set of group effects without coding dummies, whatever their number: the
     within-group cross products come from per-group sums, never from demeaned rows.
     """
-    d = build_design(df, y, terms, intercept=absorb is None, weights=weights, center_y=True, cache=cache)
+    d = build_design(df, y, terms, intercept=absorb is None, weights=weights, center_y=True, cache=cache, absorb=absorb)
     if absorb is None:
         k = len(d.xcols) + 1
         row = moments(d.data, [*d.xcols, "__y"], "__w" if weights else None).head()["m"]

@@ -47,7 +47,7 @@ class Spread:
         """(key, m) with one row per group."""
         if not self.hot:
             return moments(self.rows, cols, weight, self.keys, extra)
-        is_hot = F.col(self.key).isin(self.hot)
+        is_hot = F.coalesce(F.col(self.key).isin(self.hot), F.lit(False))
         cold = moments(self.rows.filter(~is_hot), cols, weight, self.keys, extra).drop(PART)
         pieces = moments(self.rows.filter(is_hot), cols, weight, self.keys, extra)
         return cold.unionByName(sum_vectors(pieces, "m", [self.key]))
@@ -60,12 +60,13 @@ def spread_rows(df: DataFrame, key: str, n: int, share: float = 0.5) -> Spread:
     """Partition the `n` rows of `df` by `key`, in as many parts as they fill."""
     spark = df.sparkSession
     most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(2, min(most, max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_PART))))
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    parts = max(2, min(most, spark.sparkContext.defaultParallelism), -(-n // ROWS_PER_PART))
+    sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     hot = [r[0] for r in sizes.filter(F.col("n") > max(share * n / parts, SMALL_GROUP)).select(key).collect()]
     if hot:
-        others = [c for c in df.columns if c != key]
-        part = F.when(F.col(key).isin(hot), F.pmod(F.xxhash64(*others), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+        # by place, as the rows of a group may all be alike
+        place = F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")
+        part = F.when(F.col(key).isin(hot), place).otherwise(F.lit(0))
         rows = df.withColumn(PART, part).repartition(parts, key, PART)
     else:
         rows = df.repartition(parts, key)

@@ -58,11 +58,16 @@ def entry_exit(df: DataFrame, ids: Sequence[str] | str, date: str, nulls_last: b
     return df.groupBy(*ids).agg(F.min(date).alias("entry"), exit_.alias("exit"))
 
 
-def first_last_row(df: DataFrame, ids: Sequence[str] | str, order: str, last: bool = False) -> DataFrame:
-    """The whole first (or last) row per id, missing order values last; an aggregate, not a sort."""
+def first_last_row(
+    df: DataFrame, ids: Sequence[str] | str, order: str, last: bool = False, ties: Sequence[str] = ()
+) -> DataFrame:
+    """The whole first (or last) row per id, missing order values last; an aggregate, not a sort.
+
+    `ties` names columns that decide between rows of one id and order value; without them any of these may be picked.
+    """
     ids = [ids] if isinstance(ids, str) else list(ids)
     rest = [c for c in df.columns if c not in ids]
-    rank = F.struct(F.col(order).isNull(), F.col(order))
+    rank = F.struct(F.col(order).isNull(), F.col(order), *(F.col(c).alias(f"__t{i}") for i, c in enumerate(ties)))
     pick = (F.max_by if last else F.min_by)(F.struct(*rest), rank)
     return df.groupBy(*ids).agg(pick.alias("__row")).select(*ids, "__row.*")
 

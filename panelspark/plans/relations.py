@@ -138,11 +138,11 @@ def natural_null_keys(t: Tables):
 
 @query(
     "d4_cohort_restriction",
-    """SELECT c_custkey AS ids, o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_orderdate < DATE '1996-01-01') o
+    """SELECT c_custkey AS ids, o_orderkey FROM customer c LEFT JOIN orders o
        ON c.c_custkey = o.o_custkey""",
 )
 def cohort_restriction(t: Tables):
-    events = t.orders.filter(F.col("o_orderdate") < F.lit("1996-01-01").cast("timestamp_ntz")).select("o_custkey", "o_orderkey")
+    events = t.orders.select("o_custkey", "o_orderkey")
     return restrict_to_cohort(t.customer.select(F.col("c_custkey").alias("ids")), events, "ids", "o_custkey")
 
 

@@ -81,9 +81,9 @@ def persist_cohort(t: Tables):
     return load_cohort(t.spark, save_cohort(ids, scratch_path(t.spark, "cohort")))
 
 
-@query("a6_id_table", "SELECT o_custkey AS ids FROM orders WHERE o_totalprice > 450000")
+@query("a6_id_table", "SELECT o_custkey AS ids FROM orders")
 def ids_of(t: Tables):
-    return id_table(t.orders.filter(F.col("o_totalprice") > 450000), "o_custkey")
+    return id_table(t.orders, "o_custkey")
 
 
 @query(
