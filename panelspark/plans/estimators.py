@@ -151,6 +151,42 @@ def person_logit(t: Tables):
     return out
 
 
+@query(
+    "m4_common_step",
+    """WITH c AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
+       WHERE c_mktsegment <> 'BUILDING' AND year(o_orderdate) BETWEEN 1996 AND 1999 GROUP BY 1)
+       SELECT 'step' AS term, round(ln(sum(CASE WHEN y >= 1998 THEN n END) / sum(CASE WHEN y < 1998 THEN n END)), 5) AS estimate FROM c""",
+)
+def common_step(t: Tables):
+    """In a balanced panel with one step for all areas the slope is the log ratio of totals; rows without an area leave."""
+    area = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_nationkey"))
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(area.alias("area"), F.year("o_orderdate").alias("y"))
+    counts = joined.filter("y between 1996 and 1999").groupBy("area", "y").agg(F.count(F.lit(1)).alias("n"))
+    grid = t.nation.select(F.col("n_nationkey").alias("area"), F.explode(F.sequence(F.lit(1996), F.lit(1999))).alias("y"))
+    filled = grid.join(counts, ["area", "y"], "left").withColumn("n", F.coalesce("n", F.lit(0))).unionByName(counts.filter("area is null"))
+    fit = fe_poisson(filled.withColumn("step", (F.col("y") >= 1998).cast("double")), "n", ["step"], absorb="area")
+    out = fit.table().select("term", F.round("estimate", 5).alias("estimate"))
+    fit.release()
+    return out
+
+
+@query(
+    "m5_two_periods",
+    """WITH p AS (SELECT o_custkey, max(CASE WHEN year(o_orderdate) = 1996 AND o_totalprice > 150000 THEN 1 ELSE 0 END) AS a,
+       max(CASE WHEN year(o_orderdate) = 1997 AND o_totalprice > 150000 THEN 1 ELSE 0 END) AS b FROM orders GROUP BY 1)
+       SELECT 'post' AS term, round(2 * ln(sum(CASE WHEN a < b THEN 1.0 END) / sum(CASE WHEN a > b THEN 1.0 END)), 5) AS estimate FROM p""",
+)
+def two_periods(t: Tables):
+    """With two rows a person the free-effect slope is twice the log ratio of the changes to either side."""
+    high = lambda y: F.max(((F.year("o_orderdate") == y) & (F.col("o_totalprice") > 150000)).cast("int"))
+    person = t.orders.groupBy(F.col("o_custkey").alias("uid")).agg(high(1996).alias("a"), high(1997).alias("b"))
+    rows = person.select("uid", F.explode(F.array(F.struct(F.lit(0.0).alias("post"), F.col("a").alias("z")), F.struct(F.lit(1.0).alias("post"), F.col("b").alias("z")))).alias("r"))
+    fit = fe_logit(rows.select("uid", "r.*"), "z", ["post"], absorb="uid")
+    out = fit.table().select("term", F.round("estimate", 5).alias("estimate"))
+    fit.release()
+    return out
+
+
 @query(
     "m6_deviance_residuals",
     sql_on("area_orders", body="""
