@@ -262,7 +262,8 @@ def without_repeats(docs: DataFrame, keep_first: bool = True) -> DataFrame:
     order = checkpointed(rows.groupBy("tk").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("first"), F.count("*").alias("copies")))
     names = places.groupBy("owner", "snippet").agg(F.sum("copies").alias("count"))
     groups = names.groupBy("owner").agg(F.count("*").alias("kinds"), F.sum("count").alias("times")).filter("times > 1").select("owner", "kinds")
-    met = checkpointed(places.join(groups, "owner"))
+    # both sides as plain tables, so that an owner met very often can be split in the join
+    met = checkpointed(places.join(checkpointed(groups), "owner"))
     placed = met.join(order.select("tk", "first"), "tk")
     lead = placed.groupBy("owner", "snippet", "kinds").agg(
         F.sum("copies").alias("count"), F.min_by(F.struct("tk", "low", "high"), F.struct("first", "tk", "low")).alias("at")
