@@ -35,7 +35,7 @@ GRAM = 128
 GROUP = 2000
 #: Bytes whose suffixes are sorted together, and bytes of texts worked on at once.
 SORT_BYTES = 1 << 20
-SCAN_BYTES = 2 << 20
+SCAN_BYTES = 1 << 20
 PLACE_BITS = 28
 SNIPPET = "tk long, low long, high long, owner long, snippet long"
 

@@ -23,8 +23,8 @@ END = 2
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 400_000
 #: Bytes of text whose words are looked up together, and of which ids are built together.
-LOOKUP_BYTES = 16 << 20
-BUILD_BYTES = 4 << 20
+LOOKUP_BYTES = 6 << 20
+BUILD_BYTES = 2 << 20
 MARK = np.zeros(256, bool)
 MARK[list(b",.!?;:|*#$%&")] = True
 #: Lower-case letters that stay one piece when texts are cut into words.
@@ -108,7 +108,7 @@ def _split_marks(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     """Words cut before the sentence marks that end them, where a letter is before these."""
     if not len(start):
         return start, end
-    last = np.maximum.accumulate(np.where(MARK[raw], -1, np.arange(len(raw))))[end - 1]
+    last = np.maximum.accumulate(np.where(MARK[raw], np.int32(-1), np.arange(len(raw), dtype=np.int32)))[end - 1]
     own = (last >= start) & (last < end - 1)
     byte, lead = raw[np.maximum(last, 0)], raw[np.maximum(last - 1, 0)]
     letter = (byte >= 97) & (byte <= 122) | (lead == 0xC3) & (byte >= 0x80) & (byte <= 0xBF) & (byte != 0x97) & (byte != 0xB7)
