@@ -171,8 +171,10 @@ def _literal(values: list, kind: str) -> Column:
 def train(docs: DataFrame, negatives: int = NEGATIVES, variants: int = VARIANTS, seed: int = SEED) -> Model:
     """A model whose `none` class comes from at most `negatives` cue-free paragraphs of `docs`, taken by their hash."""
     paragraphs = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("p")).filter(f"length(p) between 20 and 2000 and not lower(p) rlike '{CUE.replace(chr(92), chr(92) * 2)}'")
-    sample = paragraphs.select("p", F.xxhash64("p").alias("h")).orderBy("h", "p").limit(negatives)
-    return Model([r["p"] for r in sample.collect()], variants, seed)
+    # one for each remainder of the hash, by a combining aggregation: no task sends the driver more than it keeps
+    hashed = paragraphs.select("p", F.xxhash64("p").alias("h"))
+    sample = hashed.groupBy(F.pmod("h", F.lit(negatives)).alias("k")).agg(F.min_by("p", F.struct("h", "p")).alias("p"))
+    return Model(sorted(r["p"] for r in sample.collect()), variants, seed)
 
 
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
