@@ -6,7 +6,8 @@ union estimates their similarity, and the full sets decide.
 
 Which lists are used. If two sketches have c values in common, then the `len - c + 1` values of either that are rarest in
 the corpus hold one of them (prefix principle), so only these are indexed: a passage shared by very many different texts
-proposes nothing. For texts within their sketch c is exact. For longer texts of similarity 0.75 the number in common is
+proposes nothing. For two texts within their sketch c is exact. If only one is, the other has at most a third more shingles,
+and those that the first lacks can push as many common ones out of its sketch, so c is `MIXED` at least. For longer texts of similarity 0.75 the number in common is
 24 of 32 on average and below `COMMON` = 10 with a chance of about 1e-7 per link.
 
 What is left of long lists are copies of each other. Every list first proposes its members with its leader only; links
@@ -30,6 +31,8 @@ from .words import blocks, mix, shingles, utf8
 SHINGLE = 5
 SKETCH = 32
 COMMON = 10
+#: Least number in common with the sketch of a longer text: at most a third more shingles than `SKETCH` are missing from it.
+MIXED = SKETCH - SKETCH // 3
 #: Members outside a list's largest component from which on its members are looked up by their whole sets.
 LONG = 16
 
@@ -80,7 +83,7 @@ def _index(classes: DataFrame) -> DataFrame:
     met = every.join(shared, "value")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     met = met.withColumn("rank", rank).withColumn("met", F.count("*").over(Window.partitionBy("node")))
-    need = F.when(F.col("n") > SKETCH, F.lit(COMMON)).otherwise(F.expr("int((3 * n + 3) div 4)"))
+    need = F.when(F.col("n") > SKETCH, F.lit(COMMON)).otherwise(F.least(F.expr("int((3 * n + 3) div 4)"), F.lit(MIXED)))
     # the m - met values that no other class has come before all others in the order
     met = met.filter(F.col("rank") + F.col("m") - F.col("met") <= F.col("m") - need + 1)
     return met.select("value", "node", "n", "copies", F.col("n").alias("reach"))

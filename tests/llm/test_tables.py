@@ -60,6 +60,21 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch, seed, long):
     assert len({c for _, _, c in want}) < len(rows)
 
 
+def test_near_duplicates_within_and_beyond_the_sketch(spark):
+    """30 to 32 shingles wholly or nearly inside 40 to 42: the shorter text is its own sketch, the longer one is cut."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(120):
+        n, more = [(32, 10), (31, 10), (30, 10), (32, 8)][i % 4]
+        base = words(rng, n + 4)
+        longer = base + words(rng, more)
+        rows += [(2 * i, " ".join(base if more == 10 else [*words(rng, 1), *base[1:]])), (2 * i + 1, " ".join(longer))]
+    want = Counter(components(rows))
+    found = N.near_duplicates(table(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == want
+    assert {n for _, n, _ in want} == {30, 31, 32, 40, 41, 42} and len({c for _, _, c in want}) == 120
+
+
 def test_near_duplicates_without_rows_or_links(spark):
     assert N.near_duplicates(table(spark, [(1, "a")]).filter("false")).count() == 0
     assert [tuple(r) for r in N.near_duplicates(table(spark, [(1, "a b c"), (2, None)])).select("doc_id", "component_id").orderBy("doc_id").collect()] == [(1, 1), (2, 2)]
