@@ -2,7 +2,8 @@
 
 Spark SQL has no function for the place of every match, so the text is also split at the matches: a match ends where the
 lengths of all pieces and matches up to it add up. Patterns are written with possessive groups and look-behinds that leave
-their matches as they are and keep the matcher linear and free of recursion on very long runs.
+their matches as they are and keep the matcher linear and free of recursion on very long runs. An account number (iban)
+has the length of its country, so it ends where it should whatever follows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,15 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 # a maximal chain of digits with single separators, of 13 to 19 digits
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# Length of an account number by its country, of the registry and of the countries that use the form without it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{of.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, of in IBAN_LENGTHS.items())
+# the country fixes the length, so no word after the number is taken
+IBAN = rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBANS})(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 BASE = {
     "email": (EMAIL, 0.9, "e-?mail|mail|contact|write to"),

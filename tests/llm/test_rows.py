@@ -69,6 +69,17 @@ def test_personal_data_equals_plain_search(spark):
     assert "iban:11:38" in by[PERSONAL[11]]["spans"] and by[PERSONAL[14]]["n_ssn"] == 1
 
 
+def test_ibans_end_where_their_country_says(spark):
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    after = [" Thanks", " Please", " BIC DEUTDEFF", " 12 May", " A", " GB", ".", ""]
+    texts = [f"to {iban}{x}" for iban in (german, german.replace(" ", ""), british, british.replace(" ", "")) for x in after] + ["NO9386011117947 Now", "MT84MALT011000012345MTLCAST001S OK", f"{german} {british} Both"]
+    for r in personal_data(table(spark, texts)).collect():
+        where = [m.span() for m in re.finditer("|".join((german, german.replace(" ", ""), british, british.replace(" ", ""), "NO9386011117947", "MT84MALT011000012345MTLCAST001S")), r["text"])]
+        assert [x for x in r["spans"].split(",") if x.startswith("iban")] == [f"iban:{a}:{b}" for a, b in where], r["text"]
+    none = [german + "X", german + "1 x", "XDE89370400440532013000", "DE88370400440532013000 Thanks", "ZZ89370400440532013000 Thanks"]
+    assert sum(r["n_iban"] for r in personal_data(table(spark, none)).collect()) == 0
+
+
 def test_row_operators_on_an_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality(empty).count() == 0 and personal_data(empty).count() == 0
