@@ -26,7 +26,12 @@ SEED = 7
 LEAST_SHARE = 0.5
 #: Characters on either side whose words are looked at.
 NEAR = 40
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}|(?i:pass(?:word|wd)?|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>]{8,64})")
+RUN = re.compile("[A-Za-z0-9+/_=-]{16,}")
+# a name that holds a key word, and all of its value; or else a run. The name starts where its run starts, so a run is read once.
+CANDIDATE = re.compile(
+    r"(?<![A-Za-z0-9+/_=-])(?P<lead>[A-Za-z0-9+/_=-]*?)(?i:pass(?:word|wd)?|secret|token|api[_-]?key)(?:[_-](?:(?!(?i:pass|secret|token|api[_-]?key))[A-Za-z0-9_-])*+)?[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>]{8,}+)|"
+    + RUN.pattern
+)
 DIGIT = re.compile("[0-9]")
 # Words near keys, words near things that only look like keys, and key prefixes in use.
 SECRET_WORDS = frozenset("access api apikey auth authorization aws bearer credential credentials key passphrase passwd password private pwd secret token".split())
@@ -125,11 +130,24 @@ def trained(rows: int = LABELLED, seed: int = SEED) -> list[np.ndarray]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
+    """Spans to judge, by start. Runs inside the value of a key word follow it; they count if the value is no secret."""
     out = []
     for m in CANDIDATE.finditer(text):
-        a, b = m.span("value") if m.group("value") else m.span()
-        if m.group("value") or DIGIT.search(text, a, b):
-            out.append((a, b))
+        spans = [m.span()]
+        if m.group("value"):
+            out += [x.span() for x in RUN.finditer(text, *m.span("lead")) if DIGIT.search(text, *x.span())]
+            out.append(m.span("value"))
+            spans = [x.span() for x in RUN.finditer(text, *m.span("value")) if x.span() != m.span("value")]
+        out += [x for x in spans if DIGIT.search(text, *x)]
+    return out
+
+
+def _confirmed(spans: list[tuple[int, int]], scores: list[float]) -> list[dict]:
+    """The spans that are secrets, without those inside one before."""
+    out = []
+    for (a, b), s in zip(spans, scores):
+        if s >= LEAST_SHARE and not (out and a < out[-1]["end"]):
+            out.append({"start": a, "end": b, "score": s})
     return out
 
 
@@ -142,7 +160,7 @@ def _scan(forest: list[np.ndarray], extra: list[str]):
             spans = [candidates(t) for t in texts]
             rows = [features(t[a:b], t[max(0, a - NEAR) : a], t[b : b + NEAR], p) for t, p, own in zip(texts, paths, spans) for a, b in own]
             score = iter(share(forest, np.array(rows)).tolist() if rows else [])
-            found = [[{"start": a, "end": b, "score": s} for a, b in own if (s := next(score)) >= LEAST_SHARE] for own in spans]
+            found = [_confirmed(own, [next(score) for _ in own]) for own in spans]
             clean = [_redacted(t, own) for t, own in zip(texts, found)]
             count = pa.array([len(own) for own in spans], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in extra), count, pa.array(found, kind), pa.array(clean, pa.string())], names=[*extra, "n_candidates", "secrets", "clean_text"])
