@@ -25,8 +25,6 @@ SEED = 11
 PRECISION = 0.995
 #: Share of a template's n-grams that a paragraph must hold to confirm its family.
 CONFIRM = 0.6
-#: Features that a paragraph must hold to be scored; with fewer it is `none`.
-LEAST_FEATURES = 4
 
 # Wording of public licenses and of notices that name them, by family.
 TEMPLATES = {
@@ -57,6 +55,15 @@ TEMPLATES = {
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "Released under the ISC License"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+# Titles and SPDX identifiers, by family. All of a title's n-grams confirm it.
+TITLES = {
+    "apache-2.0": ["Apache License", "Apache-2.0", "Apache 2"], "mit": ["MIT License", "The MIT License (MIT)"], "gpl-3.0": ["GPLv3", "GPL-3.0", "GPL-3.0-or-later", "GPL-3.0-only", "GPL v3", "GPL version 3", "GNU General Public License v3.0"],
+    "gpl-2.0": ["GPLv2", "GPL-2.0", "GPL-2.0-or-later", "GPL-2.0-only", "GPL v2", "GPL version 2", "GNU General Public License v2.0"], "lgpl": ["LGPL", "LGPLv3", "LGPLv2.1", "LGPL-3.0-or-later", "LGPL-2.1-only", "GNU Lesser General Public License"],
+    "agpl-3.0": ["AGPL", "AGPLv3", "AGPL-3.0-or-later", "AGPL-3.0-only", "GNU Affero General Public License"], "bsd": ["BSD-3-Clause", "BSD-2-Clause", "BSD License"], "mpl-2.0": ["MPL-2.0", "MPL 2", "Mozilla Public License"],
+    "cc-by-nc": ["CC-BY-NC-4.0", "CC BY-NC"], "cc-by-sa": ["CC-BY-SA-4.0", "CC BY-SA"], "cc-by": ["CC-BY-4.0"], "cc0": ["CC0", "CC0-1.0"], "isc": ["ISC License"], "unlicense": ["Unlicense", "The Unlicense"],
+}
+# Short names that are words of prose too, so only the identifier's form confirms them.
+TITLES = {k: v + [f"{lead} {x}" for x in {"mit": ["MIT"], "isc": ["ISC"]}.get(k, []) for lead in ("SPDX-License-Identifier:", "License:")] for k, v in TITLES.items()}
 # License wording of no family.
 UNKNOWN = [
     "All rights reserved. No part of this publication may be reproduced without permission", "Use of this software is governed by the license agreement between the parties",
@@ -102,12 +109,20 @@ class Model:
             for _ in range(variants):
                 rows.append((_variants(texts[int(rng.integers(0, len(texts)))], filler, rng), label))
             rows += [(t, label) for t in texts]
+        for label, texts in enumerate(TITLES.values()):
+            for t in texts:
+                forms = [t, t, *([] if "License:" in t or "Identifier:" in t else [f"SPDX-License-Identifier: {t}", f"License: {t}"])]
+                rows += [(x, label) for x in forms] * 3
+                rows += [(" ".join([*(filler[int(i)] for i in rng.integers(0, len(filler), 4)), x]), label) for x in forms]
         for _ in range(2 * variants):  # single words of licenses in prose
             words = [filler[int(i)] for i in rng.integers(0, len(filler), 30)]
             own = [w for t in TEMPLATES.values() for x in t for w in x.split()]
             words += [own[int(i)] for i in rng.integers(0, len(own), 3)]
             rows.append((" ".join(words), len(FAMILIES) - 1))
-        self.features = {g: i for i, g in enumerate(dict.fromkeys(g for texts in [*TEMPLATES.values(), UNKNOWN] for t in texts for g in _text_grams(t)))}
+        self.features = {g: i for i, g in enumerate(dict.fromkeys(g for texts in [*TEMPLATES.values(), UNKNOWN, *TITLES.values()] for t in texts for g in _text_grams(t)))}
+        # features of one family, or that hold a license cue: a paragraph with one of them is scored
+        of = [{g for t in [*TEMPLATES.get(k, UNKNOWN), *TITLES.get(k, [])] for g in _text_grams(t)} for k in FAMILIES[:-1]]
+        self.telling = [bool(re.search(CUE, g)) or sum(g in x for x in of) == 1 for g in self.features]
         order = rng.permutation(len(rows))
         held = order[: len(rows) // 5]
         fit = order[len(rows) // 5 :]
@@ -190,6 +205,7 @@ def licenses(docs: DataFrame, model: Model) -> DataFrame:
     slots, names, ids = _table(model, {r["g"]: r["h"] for r in named})
     names, ids = _literal(names, "bigint"), _literal(ids, "int")
     weights = [_literal([round(float(x), 6) for x in model.weights[:-1, c] / model.temperature], "double") for c in range(len(FAMILIES))]
+    telling = _literal([int(x) for x in model.telling], "int")
     bias = [float(x) for x in model.weights[-1] / model.temperature]
 
     def known(gram: Column) -> Column:
@@ -204,13 +220,15 @@ def licenses(docs: DataFrame, model: Model) -> DataFrame:
     out = out.withColumn("_single", F.transform("_words", lambda words: F.transform(words, known)))
     every = lambda words, j: F.concat(F.get("_single", j), pairs(words, F.get("_single", j)))
     out = out.withColumn("_found", F.transform("_words", lambda words, j: F.array_distinct(F.filter(every(words, j), lambda x: x >= 0)))).drop("_words", "_single")
-    hit = F.filter(F.transform("_found", lambda x, i: F.when(F.size(x) >= LEAST_FEATURES, i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    hit = F.filter(F.transform("_found", lambda x, i: F.when(F.exists(x, lambda f: F.get(telling, f) == 1), i).otherwise(F.lit(-1))), lambda i: i >= 0)
     score = lambda x, c: F.aggregate(x, F.lit(bias[c]), lambda a, f: a + F.get(weights[c], f))
     out = out.withColumn("_hit", hit).withColumn("_scores", F.transform("_hit", lambda i: F.array(*(score(F.get("_found", i), c) for c in range(len(FAMILIES))))))
     out = out.withColumn("_best", F.transform("_scores", lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int")))
     out = out.withColumn("_p", F.transform("_scores", lambda s: 1 / F.aggregate(s, F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max(s)))))
     templates = F.array(*(F.array(*(F.array(*map(F.lit, sorted({model.features[g] for g in _text_grams(t)}))) for t in texts)) for texts in [*TEMPLATES.values(), UNKNOWN]))
-    close = lambda i, b: F.exists(F.get(templates, b), lambda t: F.size(F.array_intersect(t, F.get("_found", i))) >= CONFIRM * F.size(t))
+    titles = F.array(*(F.array(*(F.array(*map(F.lit, sorted({model.features[g] for g in _text_grams(t)}))) for t in TITLES[k])) for k in TEMPLATES))
+    holds = lambda of, i, b, share: F.exists(F.get(of, b), lambda t: F.size(F.array_intersect(t, F.get("_found", i))) >= share * F.size(t))
+    close = lambda i, b: holds(templates, i, b, CONFIRM) | F.coalesce(holds(titles, i, b, 1), F.lit(False))
     line = F.transform(
         F.arrays_zip(F.col("_hit").alias("i"), F.col("_best").alias("b"), F.col("_p").alias("p")),
         lambda x: F.struct(x["i"].alias("line"), x["b"].alias("b"), x["p"].alias("probability"), ((x["b"] < len(TEMPLATES)) & close(x["i"], x["b"])).alias("confirmed")),

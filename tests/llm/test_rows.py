@@ -117,6 +117,16 @@ def test_license_lines(spark, model):
     assert got[texts[7]] == [(0, "unknown")] and got[texts[8]] == [(0, "gpl-3.0"), (1, "mit")]
 
 
+def test_short_notices_are_confirmed(spark, model):
+    want = {
+        "MIT License": "mit", "License: MIT": "mit", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl-2.0", "GPLv3": "gpl-3.0", "CC0": "cc0", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "// SPDX-License-Identifier: ISC": "isc",
+    }
+    rows = L.licenses(table(spark, [*want, "the person of it", "er kommt mit dem file", "the version of the terms"]), model).collect()
+    got = {r["text"]: [(x["line"], x["family"], x["confirmed"]) for x in r["license_lines"]] for r in rows}
+    assert got == {t: [(0, f, True)] for t, f in want.items()} | dict.fromkeys(["the person of it", "er kommt mit dem file", "the version of the terms"], [])
+
+
 def test_forest_on_held_out_findings():
     forest = trained(1500, 3)
     findings, y = labelled_findings(800, 1234)
