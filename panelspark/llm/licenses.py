@@ -193,8 +193,9 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, variants: int = VARIANTS,
 
 
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with license_lines added: an array of (line, family, probability, confirmed) for each paragraph (line of the
-    text) that the model does not take for `none`.
+    """`docs` with license_lines added: an array of (line, last_line, family, probability, confirmed) for each notice that the
+    model does not take for `none`. A notice is a paragraph (neighbouring lines with words, comment marks are none); lines
+    that are confirmed by themselves are notices of their own, and what is left between them are others.
 
     A family below the least probability, or whose templates don't confirm it, is `unknown`. A null or empty text has an
     empty array. Computed within the row: no shuffle; repeated rows and ids don't matter. A column of the input with that
@@ -219,24 +220,58 @@ def licenses(docs: DataFrame, model: Model) -> DataFrame:
     out = docs.withColumn("_words", F.transform(F.split(F.coalesce(F.col("text"), F.lit("")), "\n"), words_of))
     out = out.withColumn("_single", F.transform("_words", lambda words: F.transform(words, known)))
     every = lambda words, j: F.concat(F.get("_single", j), pairs(words, F.get("_single", j)))
+    # the pair over the end of the line before
+    last = lambda of, j: F.try_element_at(F.get(of, j - 1), F.lit(-1))
+    over = F.transform("_words", lambda words, j: F.when((j > 0) & (last(F.col("_single"), j) >= 0) & (F.get(F.get("_single", j), 0) >= 0), known(F.concat_ws(" ", last(F.col("_words"), j), F.get(words, 0)))).otherwise(F.lit(-1)))
+    out = out.withColumn("_over", over).withColumn("_empty", F.transform("_words", lambda words: F.size(words) == 0))
     out = out.withColumn("_found", F.transform("_words", lambda words, j: F.array_distinct(F.filter(every(words, j), lambda x: x >= 0)))).drop("_words", "_single")
-    hit = F.filter(F.transform("_found", lambda x, i: F.when(F.exists(x, lambda f: F.get(telling, f) == 1), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+
     score = lambda x, c: F.aggregate(x, F.lit(bias[c]), lambda a, f: a + F.get(weights[c], f))
-    out = out.withColumn("_hit", hit).withColumn("_scores", F.transform("_hit", lambda i: F.array(*(score(F.get("_found", i), c) for c in range(len(FAMILIES))))))
-    out = out.withColumn("_best", F.transform("_scores", lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int")))
-    out = out.withColumn("_p", F.transform("_scores", lambda s: 1 / F.aggregate(s, F.lit(0.0), lambda a, z: a + F.exp(z - F.array_max(s)))))
+    told = lambda x: F.exists(x, lambda f: F.get(telling, f) == 1)
     templates = F.array(*(F.array(*(F.array(*map(F.lit, sorted({model.features[g] for g in _text_grams(t)}))) for t in texts)) for texts in [*TEMPLATES.values(), UNKNOWN]))
     titles = F.array(*(F.array(*(F.array(*map(F.lit, sorted({model.features[g] for g in _text_grams(t)}))) for t in TITLES[k])) for k in TEMPLATES))
-    holds = lambda of, i, b, share: F.exists(F.get(of, b), lambda t: F.size(F.array_intersect(t, F.get("_found", i))) >= share * F.size(t))
-    close = lambda i, b: holds(templates, i, b, CONFIRM) | F.coalesce(holds(titles, i, b, 1), F.lit(False))
-    line = F.transform(
-        F.arrays_zip(F.col("_hit").alias("i"), F.col("_best").alias("b"), F.col("_p").alias("p")),
-        lambda x: F.struct(x["i"].alias("line"), x["b"].alias("b"), x["p"].alias("probability"), ((x["b"] < len(TEMPLATES)) & close(x["i"], x["b"])).alias("confirmed")),
-    )
-    out = out.withColumn("_kinds", F.filter(line, lambda x: x["b"] < len(FAMILIES) - 1))
+    holds = lambda of, found, b, share: F.exists(F.get(of, b), lambda t: F.size(F.array_intersect(t, found)) >= share * F.size(t))
+    close = lambda found, b: (b < len(TEMPLATES)) & (holds(templates, found, b, CONFIRM) | F.coalesce(holds(titles, found, b, 1), F.lit(False)))
+    joined = lambda s, e: F.array_distinct(F.concat(F.flatten(F.slice("_found", s + 1, e - s + 1)), F.filter(F.slice("_over", s + 2, e - s), lambda x: x >= 0)))
+
+    def judged(out: DataFrame, name: str) -> DataFrame:
+        """b (class), probability and confirmed added to the structs (s, e, found) of a column, those without a telling feature taken out."""
+        out = out.withColumn(name, F.filter(name, lambda x: told(x["found"])))
+        out = out.withColumn("_scores", F.transform(name, lambda x: F.array(*(score(x["found"], c) for c in range(len(FAMILIES))))))
+        out = out.withColumn("_best", F.transform("_scores", lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int")))
+        out = out.withColumn("_p", F.transform("_scores", lambda z: 1 / F.aggregate(z, F.lit(0.0), lambda a, y: a + F.exp(y - F.array_max(z)))))
+        both = F.arrays_zip(F.col(name).alias("x"), F.col("_best").alias("b"), F.col("_p").alias("p"))
+        full = F.transform(both, lambda y: F.struct(y["x"]["s"].alias("s"), y["x"]["e"].alias("e"), y["x"]["found"].alias("found"), y["b"].alias("b"), y["p"].alias("p"), close(y["x"]["found"], y["b"]).alias("ok")))
+        return out.withColumn(name, full).drop("_scores", "_best", "_p")
+
+    def runs(apart: str) -> Column:
+        """(s, e, found) of the longest runs of lines that `apart` (an array of booleans) does not mark."""
+        edge = lambda i: F.coalesce(F.get(apart, i), F.lit(True))
+        ends = lambda step: F.filter(F.transform(apart, lambda x, i: F.when(~x & (F.when(i + step >= 0, edge(i + step)).otherwise(True)), i).otherwise(F.lit(-1))), lambda i: i >= 0)
+        return F.transform(F.arrays_zip(ends(-1).alias("s"), ends(1).alias("e")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), joined(x["s"], x["e"]).alias("found")))
+
+    none = F.expr("array()").cast("array<int>")
+    sure = lambda x: x["ok"] & (x["p"] >= model.least)
+    # whole paragraphs first, then lines that are notices by themselves
+    out = judged(out.withColumn("_paras", runs("_empty")), "_paras")
+    out = judged(out.withColumn("_lines", F.transform("_found", lambda x, i: F.struct(i.alias("s"), i.alias("e"), x.alias("found")))), "_lines")
+    out = out.withColumn("_lines", F.filter("_lines", sure))
+    # a line of another family than its confirmed paragraph stands only if the paragraph is confirmed without it too
+    outer = F.map_from_entries(F.flatten(F.transform("_paras", lambda x: F.transform(F.sequence(x["s"], x["e"]), lambda i: F.struct(i, F.struct(x["s"].alias("s"), x["e"].alias("e"), x["b"].alias("b"), sure(x).alias("sure")))))))
+    out = out.withColumn("_outer", outer)
+    without = lambda y, i: F.array_distinct(F.concat(F.when(i > y["s"], joined(y["s"], i - 1)).otherwise(none), F.when(i < y["e"], joined(i + 1, y["e"])).otherwise(none)))
+    stands = lambda x, y: ~y["sure"] | (y["b"] == x["b"]) | close(without(y, x["s"]), y["b"])
+    out = out.withColumn("_lines", F.filter("_lines", lambda x: stands(x, F.try_element_at(F.col("_outer"), x["s"]))))
+    # what is left of the paragraphs between these lines
+    out = out.withColumn("_own", F.transform("_lines", lambda x: x["s"])).withColumn("_apart", F.transform("_empty", lambda x, i: x | F.array_contains("_own", i)))
+    out = judged(out.withColumn("_rest", runs("_apart")), "_rest")
+    # the rest of a notice is of its family if its paragraph is confirmed
+    again = lambda x, y: x["ok"] | ((x["b"] == y["b"]) & y["sure"])
+    drop = lambda x: F.struct(x["s"].alias("line"), x["e"].alias("last_line"), x["b"].alias("b"), x["p"].alias("probability"), again(x, F.try_element_at(F.col("_outer"), x["s"])).alias("confirmed"))
+    out = out.withColumn("_kinds", F.filter(F.array_sort(F.transform(F.concat("_lines", "_rest"), drop)), lambda x: x["b"] < len(FAMILIES) - 1))
     family = lambda x: F.when((x["probability"] >= model.least) & x["confirmed"], F.get(F.lit(FAMILIES), x["b"])).otherwise(F.lit("unknown"))
-    result = F.transform("_kinds", lambda x: F.struct(x["line"].alias("line"), family(x).alias("family"), F.round(x["probability"], 6).alias("probability"), x["confirmed"].alias("confirmed")))
-    return fenced(out.withColumn("license_lines", result).drop("_found", "_hit", "_scores", "_best", "_p", "_kinds"))
+    result = F.transform("_kinds", lambda x: F.struct(x["line"].alias("line"), x["last_line"].alias("last_line"), family(x).alias("family"), F.round(x["probability"], 6).alias("probability"), x["confirmed"].alias("confirmed")))
+    return fenced(out.withColumn("license_lines", result).drop("_found", "_over", "_empty", "_paras", "_lines", "_outer", "_own", "_apart", "_rest", "_kinds"))
 
 
 @query("op1_license_scan")

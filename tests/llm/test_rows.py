@@ -117,6 +117,16 @@ def test_license_lines(spark, model):
     assert got[texts[7]] == [(0, "unknown")] and got[texts[8]] == [(0, "gpl-3.0"), (1, "mit")]
 
 
+def test_wrapped_notices_are_one_paragraph(spark, model):
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */"
+    mit = "Permission is hereby granted, free\nof charge, to any person obtaining\na copy of this software and\nassociated documentation files"
+    texts = [gpl, mit, f"{prose(9)}\n\n{mit}\n\n{prose(9, 1)}", f"{mit}\n\n{gpl}", f"{gpl}\nReleased under the BSD 3-Clause License"]
+    rows = L.licenses(table(spark, texts), model).collect()
+    got = {r["text"]: [(x["line"], x["last_line"], x["family"]) for x in r["license_lines"]] for r in rows}
+    assert got[texts[0]] == [(1, 4, "gpl-3.0")] and got[texts[1]] == [(0, 3, "mit")] and got[texts[2]] == [(2, 5, "mit")]
+    assert got[texts[3]] == [(0, 3, "mit"), (6, 9, "gpl-3.0")] and got[texts[4]] == [(1, 4, "gpl-3.0"), (6, 6, "bsd")]
+
+
 def test_short_notices_are_confirmed(spark, model):
     want = {
         "MIT License": "mit", "License: MIT": "mit", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
