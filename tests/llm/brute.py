@@ -101,3 +101,35 @@ def crc(ids):
 
 def sha(data):
     return hashlib.sha256(data).hexdigest()
+
+
+def variants(rows):
+    """[(doc_id, text)] -> sorted (word, form, root, n, n_near, form_n), all pairs of words compared."""
+    count = Counter()
+    for d, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = w.translate(LOWER)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += 1
+    n = {w: c for w, c in count.items() if len(w) >= 6 and c >= 5}
+
+    def near(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    others = {w: [x for x in n if near(w, x)] for w in n}
+    form = {}
+    for w, found in others.items():
+        best = min(found, key=lambda x: (-n[x], x), default=None)
+        form[w] = best if best is not None and n[best] >= 5 * n[w] else None
+    out = []
+    for w in n:
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n[w], len(others[w]), n[form[w]] if form[w] else None))
+    return sorted(out)
