@@ -1,6 +1,7 @@
 """Plain restatements of the operators' results, one text or pair at a time."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -133,3 +134,29 @@ def variants(rows):
             root = form[root]
         out.append((w, form[w], root, n[w], len(others[w]), n[form[w]] if form[w] else None))
     return sorted(out)
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def ranked(docs, items, top=50):
+    """[(doc_id, text)], [(item_id, text)] -> sorted (item_id, rank, doc_id, score), the formula term by term."""
+    counts = [(d, Counter(terms(t))) for d, t in docs]
+    counts = [(d, c, sum(c.values())) for d, c in counts if c]
+    texts, length = len(counts), sum(n for _, _, n in counts)
+    df = Counter(t for _, c, _ in counts for t in c)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(terms(t))
+    out = []
+    for i, own in wanted.items():
+        found = []
+        for d, c, n in counts:
+            m = 100 - 50 + ((50 * n * texts) // length)
+            score = sum(math.floor(1000 * math.log((2 * texts + 2) / (2 * df[t] + 1))) * ((1000000000 * c[t]) // (1000 * c[t] + 20 * m)) for t in own if t in c)
+            if score > 0:
+                found.append((-score, d is not None, d))
+        found.sort(key=lambda x: (x[0], x[1], x[2] or 0))
+        out += [(i, k + 1, d, -s) for k, (s, _, d) in enumerate(found[:top])]
+    return sorted(out, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
