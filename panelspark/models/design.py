@@ -99,6 +99,12 @@ class Design:
             d.unpersist()
 
 
+def present(df: DataFrame, col: str) -> Column:
+    """Neither null nor NaN."""
+    there = F.col(col).isNotNull()
+    return there & ~F.isnan(col) if dict(df.dtypes).get(col) in ("double", "float") else there
+
+
 def build_design(
     df: DataFrame, y: str, terms: Sequence[Term], intercept: bool = True, weights: str | None = None,
     offset: str | None = None, center_y: bool = False, cache: bool = True, absorb: str | None = None,
@@ -112,10 +118,7 @@ def build_design(
         df = df.persist()  # read several times: knots, means, sums, residuals
         owned.append(df)
     inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset, absorb) if c]
-    kinds = dict(df.dtypes)
-    there = [F.col(c).isNotNull() & ~F.isnan(c) if kinds.get(c) in ("double", "float") else F.col(c).isNotNull() for c in dict.fromkeys(inputs)]
-    complete = reduce(and_, there)
-    df = df.filter(complete)
+    df = df.filter(reduce(and_, [present(df, c) for c in dict.fromkeys(inputs)]))
     pairs: list[tuple[str, Column]] = []
     for t in terms:
         pairs += [(t, F.col(t).cast("double"))] if isinstance(t, str) else t.columns(df)

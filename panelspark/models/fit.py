@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +28,13 @@ class Fit:
     absorb: str | None = None
     effects: DataFrame | None = None  # (absorb, __alpha)
     stats: dict = field(default_factory=dict)
+    again: Callable[[str], Fit] | None = None  # the same model without the rows that miss a column
+
+    def refit(self, col: str) -> Fit:
+        """The model fitted again without the rows that miss `col`."""
+        if self.again is None:
+            raise ValueError(f"{col} is missing in some rows; leave them out and fit again")
+        return self.again(col)
 
     @property
     def terms(self) -> list[str]:

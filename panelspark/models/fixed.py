@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
-from .design import Term, build_design, drop_aliased, linear_predictor
+from .design import Term, build_design, drop_aliased, linear_predictor, present
 from .fit import Fit
 from .moments import triangle_pairs, within_sums
 from .spread import spread_rows
@@ -82,7 +82,7 @@ def fe_poisson(
     stats = {"deviance": 2 * s["half_dev"], "pearson": s["x2"], "groups": groups, "groups_dropped": s["dropped"]}
     return Fit(
         "poisson", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), s["x2"] / df_resid, df_resid,
-        absorb=absorb, effects=effects, stats=stats,
+        absorb=absorb, effects=effects, stats=stats, again=lambda c: fe_poisson(df.filter(present(df, c)), y, terms, absorb, offset, tol, max_iter),
     )
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .design import Term, build_design, drop_aliased, linear_predictor
+from .design import Term, build_design, drop_aliased, linear_predictor, present
 from .fit import Fit
 from .moments import moments, symmetric
 
@@ -50,4 +50,6 @@ def poisson_glm(
     s = d.data.agg(F.sum((yc - mu) * (yc - mu) / mu).alias("x2"), (2 * F.sum(dev)).alias("dev")).head()
     df_resid = d.n - len(kept)
     phi = s["x2"] / df_resid if quasi else 1.0
-    return Fit("poisson", d, kept, coef, bread, phi, df_resid, normal=not quasi, stats={"deviance": s["dev"], "pearson": s["x2"]})
+    again = lambda c: poisson_glm(df.filter(present(df, c)), y, terms, offset, quasi, tol, max_iter)
+    stats = {"deviance": s["dev"], "pearson": s["x2"]}
+    return Fit("poisson", d, kept, coef, bread, phi, df_resid, normal=not quasi, stats=stats, again=again)

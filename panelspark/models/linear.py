@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .design import INTERCEPT, Term, build_design, drop_aliased
+from .design import INTERCEPT, Term, build_design, drop_aliased, present
 from .fit import Fit
 from .moments import moments, symmetric, within_sums
 
@@ -46,7 +46,8 @@ def ols(
         tss = float(yty)
     if tss > 0:
         stats["r2"] = 1.0 - rss / tss
-    return Fit("gaussian", d, kept, coef, bread, sigma2, df_resid, absorb=absorb, stats=stats)
+    again = lambda c: ols(df.filter(present(df, c)), y, terms, weights, absorb, cache)
+    return Fit("gaussian", d, kept, coef, bread, sigma2, df_resid, absorb=absorb, stats=stats, again=again)
 
 
 def wls(df: DataFrame, y: str, terms: Sequence[Term], weights: str, absorb: str | None = None) -> Fit:
