@@ -42,6 +42,8 @@ SYMBOLS = 4
 HELD_WORDS = 200_000
 #: Letters whose neighbours are built at once; one longer word makes a block of its own.
 BLOCK_LETTERS = 1 << 16
+#: Letters up to which a word travels with its proposals.
+CARRIED = 64
 FIRST, SECOND = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 LONGER = np.uint64(0x2545F4914F6CDD1D)
 
@@ -134,9 +136,9 @@ class _Words:
         return np.where(in_second, self.first_half(word, np.minimum(first, self.size[word])), self.second_half(word, shorter - first))
 
 
-def _keys(reduced: np.ndarray, half: np.ndarray, longer: bool) -> np.ndarray:
-    """longer: the vocabulary's word is the longer one of the pair."""
-    return mix(mix(reduced + (LONGER if longer else np.uint64(0))) + half)
+def _keys(reduced: np.ndarray, half: np.ndarray, longer: bool, in_second: np.ndarray) -> np.ndarray:
+    """longer: the vocabulary's word is the longer one of the pair. The last bit tells that the second half is edited."""
+    return mix(mix(reduced + (LONGER if longer else np.uint64(0))) + half) & ~np.uint64(1) | in_second.astype(np.uint64)
 
 
 def _proposals(w: _Words, symbols: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,21 +146,24 @@ def _proposals(w: _Words, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     whole = np.arange(len(w.size))
     for in_second in (False, True):  # a letter replaced by one of the same symbol, at any place
-        out.append((whole, _keys(w.whole(whole), w.intact(whole, w.size, np.full(len(whole), in_second)), False)))
+        second = np.full(len(whole), in_second)
+        out.append((whole, _keys(w.whole(whole), w.intact(whole, w.size, second), False, second)))
     word, i = w.each()
     size, at, digit = w.size[word], w.begin[word] + i, w.digit
-    half = w.intact(word, size, i >= size // 2)
+    second = i >= size // 2
+    half = w.intact(word, size, second)
     for step in range(1, symbols):
         other = (digit + np.uint64(step)) % np.uint64(symbols)
-        out.append((word, _keys(w.whole(word) + (other - digit) * w.up[i], half, False)))
+        out.append((word, _keys(w.whole(word) + (other - digit) * w.up[i], half, False, second)))
     before, after = w.until(w.reduced, word, i), w.whole(word) - (w.reduced[at + 1] - w.reduced[w.begin[word]])
-    out.append((word, _keys(before + after * w.down[1], w.intact(word, size - 1, i > (size - 1) // 2), False)))
+    second = i > (size - 1) // 2
+    out.append((word, _keys(before + after * w.down[1], w.intact(word, size - 1, second), False, second)))
     word, i = w.each(1)
     size = w.size[word]
-    before = w.until(w.reduced, word, i)
-    after, half = (w.whole(word) - before) * w.up[1], w.intact(word, size, i > size // 2)
+    before, second = w.until(w.reduced, word, i), i > size // 2
+    after, half = (w.whole(word) - before) * w.up[1], w.intact(word, size, second)
     for symbol in range(symbols):
-        out.append((word, _keys(before + np.uint64(symbol + 1) * w.up[i] + after, half, True)))
+        out.append((word, _keys(before + np.uint64(symbol + 1) * w.up[i] + after, half, True, second)))
     word, key = (np.concatenate(x) for x in zip(*out))
     order = np.lexsort((key, word))
     word, key = word[order], key[order]
@@ -171,40 +176,45 @@ def _entries(w: _Words, symbols: int) -> tuple[np.ndarray, np.ndarray]:
     """(word, key) under which the vocabulary's words are met: two halves, as the shorter or equal and as the longer one."""
     whole = np.arange(len(w.size))
     reduced, sides = w.whole(whole), [(np.full(len(whole), s), longer) for s in (False, True) for longer in (False, True)]
-    keys = [_keys(reduced, w.intact(whole, w.size - longer, side), longer) for side, longer in sides]
+    keys = [_keys(reduced, w.intact(whole, w.size - longer, side), longer, side) for side, longer in sides]
     return np.tile(whole, len(keys)), np.concatenate(keys)
 
 
-def _keyed(build, symbols: int):
-    """Batches of (word, id) to (key, id)."""
+def _keyed(rows: DataFrame, build, symbols: int, *carried: str) -> DataFrame:
+    """(key, *carried): the keys that `build` gives each word of `rows`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, spelled = batch.column("id").to_numpy(), batch.column("word").to_pylist()
+            spelled = batch.column("word").to_pylist()
             at = np.cumsum([0, *map(len, spelled)])
             first = 0
             while first < len(spelled):
                 last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_LETTERS, "right")) - 1)
                 word, key = build(_Words(spelled[first:last], symbols), symbols)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[first:last][word])], names=["key", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *(batch.column(c).take(pa.array(first + word)) for c in carried)], names=["key", *carried])
                 first = last
 
-    return run
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(["key long", *(f"{c} {kinds[c]}" for c in carried)]))
 
 
 def near_words(vocabulary: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
-    """(word, n, near, near_n) for every ordered pair of `vocabulary` (word, n) at one inserted, deleted or replaced letter.
+    """(word, near, near_n) for every ordered pair of `vocabulary` (word, n) at one inserted, deleted or replaced letter.
 
-    Words are distinct and not null. Each pair comes once in either order.
+    Words are distinct and not null. Each pair comes once in either order: an edit between two equal letters on both sides
+    of the middle leaves either half, and the pair counts where it left the second one. Words of more than `CARRIED`
+    letters are known by their fingerprint until they have met.
     """
-    rows = vocabulary.select("word", "n", F.xxhash64("word").alias("id"))
-    spelled = rows.select("word", "id").repartition(parts(vocabulary.sparkSession), "id")
-    proposed = spelled.mapInArrow(_keyed(_proposals, symbols), "key long, id long")
-    entries = spelled.mapInArrow(_keyed(_entries, symbols), "key long, near_id long")
-    met = proposed.join(entries, "key").filter("id <> near_id").select("id", "near_id").distinct()
-    near = rows.select(F.col("id").alias("near_id"), F.col("word").alias("near"), F.col("n").alias("near_n"))
-    pairs = met.join(rows, "id").join(near, "near_id")
-    return pairs.filter(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    rows = vocabulary.select("word", "n", F.xxhash64("word").alias("id")).repartition(parts(vocabulary.sparkSession), "id")
+    entries = _keyed(rows.select("word", "n"), _entries, symbols, "word", "n").toDF("key", "near", "near_n")
+    short, long = rows.filter(F.length("word") <= CARRIED).select("word"), rows.filter(F.length("word") > CARRIED).select("word", "id")
+    met = _keyed(short, _proposals, symbols, "word").join(entries, "key")
+    met_long = _keyed(long, _proposals, symbols, "id").join(entries, "key").join(long, "id")
+    shorter = F.least(F.length("word"), F.length("near"))
+    half = (shorter - F.floor(shorter / 2)).cast("int")
+    once = ((F.col("key") % 2) == 0) | (F.right("word", half) != F.right("near", half))
+    pairs = met.unionByName(met_long.drop("id")).filter((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1) & once)
+    return pairs.select("word", "near", "near_n")
 
 
 def variants(vocabulary: DataFrame, ratio: int = RATIO, symbols: int = SYMBOLS) -> DataFrame:
