@@ -107,7 +107,7 @@ def present(df: DataFrame, col: str) -> Column:
 
 def build_design(
     df: DataFrame, y: str, terms: Sequence[Term], intercept: bool = True, weights: str | None = None,
-    offset: str | None = None, center_y: bool = False, cache: bool = True, absorb: str | None = None,
+    offset: str | None = None, center_y: bool = False, cache: bool = True, absorb: str | tuple[str, str] | None = None,
 ) -> Design:
     """Rows that miss the outcome, a term, the weight, the offset or the absorbed group are left out; NaN is missing.
 
@@ -117,7 +117,8 @@ def build_design(
     if cache and not df.is_cached:
         df = df.persist()  # read several times: knots, means, sums, residuals
         owned.append(df)
-    inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset, absorb) if c]
+    sets = [absorb] if isinstance(absorb, str) else list(absorb or [])
+    inputs = [y] + [t if isinstance(t, str) else t.col for t in terms] + [c for c in (weights, offset, *sets) if c]
     df = df.filter(reduce(and_, [present(df, c) for c in dict.fromkeys(inputs)]))
     pairs: list[tuple[str, Column]] = []
     for t in terms:
@@ -161,12 +162,13 @@ def linear_predictor(xcols: Sequence[str], b: np.ndarray) -> Column:
     return F.expr(" + ".join(["0D", *[f"`{x}` * {float(v)!r}D" for x, v in zip(xcols, b)]]))
 
 
-def drop_aliased(gram: np.ndarray, tol: float = 1e-9) -> list[int]:
-    """Columns to keep, in term order: one is dropped when the kept ones before it reproduce it."""
+def drop_aliased(gram: np.ndarray, tol: float = 1e-9, floor: float = 0.0) -> list[int]:
+    """Columns to keep, in term order: one is dropped when the kept ones before it reproduce it, or when its own sum of
+    squares is at most `floor`."""
     scale = np.sqrt(np.maximum(np.diag(gram), 0.0))
     kept: list[int] = []
     for j in range(len(gram)):
-        if scale[j] == 0.0:
+        if scale[j] ** 2 <= floor:
             continue
         if kept:
             corr = gram[np.ix_(kept, kept)] / np.outer(scale[kept], scale[kept])

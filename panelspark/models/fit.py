@@ -25,9 +25,10 @@ class Fit:
     dispersion: float
     df_resid: float
     normal: bool = False
-    absorb: str | None = None
-    effects: DataFrame | None = None  # (absorb, __alpha)
+    absorb: str | tuple[str, str] | None = None
+    effects: DataFrame | list[DataFrame] | None = None  # (absorbed column, __alpha); of two sets, one for each
     stats: dict = field(default_factory=dict)
+    owned: list = field(default_factory=list)
     again: Callable[[str], Fit] | None = None  # the same model without the rows that miss a column
 
     def refit(self, col: str) -> Fit:
@@ -103,7 +104,10 @@ class Fit:
         return confint(self.table(), level)
 
     def release(self) -> None:
+        """Give back the cached rows and the effects table; what was read from the fit before stays, plans on it do not."""
         self.design.release()
+        for table in self.owned:
+            table.release()
 
 
 def confint(table: DataFrame, level: float = 0.95) -> DataFrame:

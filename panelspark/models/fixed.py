@@ -5,21 +5,26 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import Owned
 from .design import Term, build_design, drop_aliased, linear_predictor, present
 from .fit import Fit
 from .moments import triangle_pairs, within_sums
 from .spread import spread_rows
+from .twoway import poisson_two_way
+
+
+#: Distance of the predictors of a group's zeros and ones beyond which the group counts as separated.
+SPLIT = 30.0
 
 
 def fe_poisson(
-    df: DataFrame, y: str, terms: Sequence[Term], absorb: str, offset: str | None = None,
+    df: DataFrame, y: str, terms: Sequence[Term], absorb: str | tuple[str, str], offset: str | None = None,
     tol: float = 1e-7, max_iter: int = 50,
 ) -> Fit:
-    """Quasi-Poisson with absorbed group effects.
+    """Quasi-Poisson with one or two sets of absorbed group effects.
 
     Given the slopes, a group's effect is log(sum y / sum exp(x b)), so Newton steps on the slopes need
     only per-group sums: no effect column is ever joined to the rows while iterating, and rows are
@@ -27,6 +32,13 @@ def fe_poisson(
     outcome sums to zero carry no information on the slopes; they are left out and counted.
     """
     d = build_design(df, y, terms, intercept=False, offset=offset, absorb=absorb)
+    again = lambda c: fe_poisson(df.filter(present(df, c)), y, terms, absorb, offset, tol, max_iter)
+    if not isinstance(absorb, str):
+        f = poisson_two_way(d, tuple(absorb), tol, max_iter)
+        d.n = f.n
+        df_resid = d.n - len(f.kept) - f.groups
+        stats = {"deviance": 2 * f.sums["half_dev"], "pearson": f.sums["x2"], "groups": f.groups, "groups_dropped": f.dropped}
+        return Fit("poisson", d, f.kept, f.coef, f.bread, f.sums["x2"] / df_resid, df_resid, absorb=tuple(absorb), effects=f.effects, stats=stats, again=again)
     x, p = d.xcols, len(d.xcols)
     spread = spread_rows(d.data.select(absorb, "__one", *x, "__y", "__off"), absorb, d.n)
     sums = spread.rows.agg(*[F.sum(F.col("__y") * F.col(c)).alias(c) for c in x]).head()
@@ -82,20 +94,26 @@ def fe_poisson(
     stats = {"deviance": 2 * s["half_dev"], "pearson": s["x2"], "groups": groups, "groups_dropped": s["dropped"]}
     return Fit(
         "poisson", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), s["x2"] / df_resid, df_resid,
-        absorb=absorb, effects=effects, stats=stats, again=lambda c: fe_poisson(df.filter(present(df, c)), y, terms, absorb, offset, tol, max_iter),
+        absorb=absorb, effects=effects, stats=stats, again=again,
     )
 
 
 def fe_logit(
-    df: DataFrame, y: str, terms: Sequence[Term], absorb: str, tol: float = 1e-7, max_iter: int = 60,
+    df: DataFrame, y: str, terms: Sequence[Term], absorb: str, tol: float = 1e-7, max_iter: int = 100,
 ) -> Fit:
     """Logit with a free effect per group (not the conditional likelihood).
 
-    Slopes and effects move together in Newton steps; the effects are eliminated group by group from
-    per-group sums. Groups whose outcome never varies have no finite effect; they are left out and counted.
+    Slopes and effects move together in Newton steps; the effects are eliminated group by group from per-group sums. A step
+    is halved until the likelihood does not fall; the trial points lie on one line, so halving needs no new effects table.
+
+    Groups whose outcome never varies have no finite effect; they are left out and counted (`groups_dropped`). So are groups
+    whose outcomes the predictor comes to split by more than `SPLIT` (`groups_separated`): their part of the likelihood
+    only rises on the way to infinity. A term that only such groups inform on is then dropped as collinear. If the
+    predictor splits every group there is no finite estimate, which is an error.
     """
     d = build_design(df, y, terms, intercept=False, absorb=absorb)
     x, p = d.xcols, len(d.xcols)
+    spark = df.sparkSession
     yc = F.col("__y")
     groups_all = d.data.groupBy(absorb).agg(
         F.avg(yc).alias("ybar"), F.min(yc).alias("lo"), F.max(yc).alias("hi"), F.count(F.lit(1)).alias("n")
@@ -107,41 +125,88 @@ def fe_logit(
     if not c["kept"]:
         raise ValueError("the outcome varies in no group")
     d.n = int(c["n"])
-    effects = groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha"))
-    effects = checkpointed(effects)
+    table = Owned(spark, "fixed-effects")
+    # __alpha moves along __step; the factor of the step is a literal of the plan
+    effects = table.write(groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha"), F.lit(0.0).alias("__step")))
     spread = spread_rows(d.data.select(absorb, "__one", *x, "__y"), absorb, d.n)
-    b, kept = np.zeros(p), None
-    z_at = p + 1  # moment columns: constant, x..., working response
-    for _ in range(max_iter):
-        eta = F.col("__alpha") + linear_predictor(x, b)
+    n_pairs = len(triangle_pairs(p + 2))
+
+    def evaluate(b: np.ndarray, factor: float) -> DataFrame:
+        """Per group: weighted cross products of the constant, x and the working residual; likelihood, largest predictor of
+        a 0 and smallest of a 1."""
+        eta = F.col("__alpha") + F.lit(float(factor)) * F.col("__step") + linear_predictor(x, b)
         pr = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         w = F.greatest(pr * (1 - pr), F.lit(1e-12))
-        work = spread.join_groups(effects).select("__one", *x, w.alias("__v"), (eta + (yc - pr) / w).alias("__z"))
-        g = work.group_moments(["__one", *x, "__z"], "__v").persist()
-        full, _, _ = within_sums(g, p + 2)
-        hess, rhs = full[:p, :p], full[:p, p]
-        if kept is None:
-            kept = drop_aliased(hess)
-        new = np.zeros(p)
-        new[kept] = np.linalg.solve(hess[np.ix_(kept, kept)], rhs[kept])
-        # Back substitution of each effect; one row per group, cut from its history every round.
-        left = " - ".join([f"m[{z_at}]", *[f"m[{1 + i}] * ({float(new[i])!r}D)" for i in range(p)]])
-        effects = checkpointed(g.select(absorb, F.expr(f"({left}) / m[0]").alias("__alpha")))
+        side = F.when(yc > 0.5, eta).otherwise(-eta)
+        ll = -(F.log1p(F.exp(-F.abs(side))) + F.greatest(-side, F.lit(0.0)))
+        rows = spread.join_groups(effects).select("__one", *x, "__y", w.alias("__v"), ((yc - pr) / w).alias("__z"), ll.alias("__ll"), eta.alias("__eta"))
+        g = rows.group_moments(["__one", *x, "__z"], "__v", extra=["__ll"])
+        # the range needs the group's rows, not its sums
+        ends = rows.rows.groupBy(absorb).agg(F.max(F.when(yc < 0.5, F.col("__eta"))).alias("__hi"), F.min(F.when(yc > 0.5, F.col("__eta"))).alias("__lo"))
+        g = g.join(ends, absorb).withColumn("__ll", F.expr(f"m[{n_pairs}]"))
+        apart = (F.col("__lo") - F.col("__hi") > SPLIT).cast("double")
+        return g.withColumns({"__apart": apart, "__g": F.lit(1.0)}).persist()
+
+    def totals(g: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int, int]:
+        full, _, (ll, n, apart) = within_sums(g, p + 2, extra=["__ll", "__g", "__apart"])
+        return full[:p, :p], full[:p, p], float(ll), int(n), int(apart)
+
+    def moved() -> Column:
+        return (F.col("__alpha") + F.lit(factor) * F.col("__step")).alias("__alpha")
+
+    b, kept, separated, factor = np.zeros(p), None, 0, 0.0
+    g = evaluate(b, factor)
+    hess, grad, ll, groups, gone = totals(g)
+    try:
+        for _ in range(max_iter):
+            if gone:
+                separated, kept = separated + gone, None
+                if gone == groups:
+                    raise ValueError("the predictor splits the outcomes of every group: there is no finite estimate")
+                effects = table.write(effects.join(g.filter("__apart > 0").select(absorb), absorb, "left_anti"))
+                g.unpersist()
+                g = evaluate(b, factor)
+                hess, grad, ll, groups, _ = totals(g)
+            if kept is None:
+                kept = drop_aliased(hess, floor=1e-9 * d.n)
+                out = np.setdiff1d(np.arange(p), kept)
+                if np.any(b[out]):
+                    # effects take over what the dropped terms added, a constant within each group that is left
+                    level = F.expr(" + ".join(["0D", *[f"m[{1 + i}] / m[0] * ({float(b[i])!r}D)" for i in out]]))
+                    raised = effects.select(absorb, moved()).join(g.select(absorb, level.alias("__level")), absorb)
+                    effects, factor = table.write(raised.select(absorb, (F.col("__alpha") + F.col("__level")).alias("__alpha"), F.lit(0.0).alias("__step"))), 0.0
+                    b[out] = 0.0
+            step = np.zeros(p)
+            step[kept] = np.linalg.solve(hess[np.ix_(kept, kept)], grad[kept])
+            # Back substitution of each effect's step; one row per group, cut from its history every round.
+            left = " - ".join([f"m[{p + 1}]", *[f"m[{1 + i}] * ({float(step[i])!r}D)" for i in range(p)]])
+            steps = g.select(absorb, F.expr(f"({left}) / m[0]").alias("__step"))
+            effects = table.write(effects.select(absorb, moved()).join(steps, absorb))
+            g.unpersist()
+            factor = 1.0
+            for _ in range(30):
+                g = evaluate(b + factor * step, factor)
+                new_hess, new_grad, new_ll, groups, gone = totals(g)
+                if new_ll >= ll - 1e-9 * (1.0 + abs(ll)):
+                    break
+                g.unpersist()
+                factor /= 2.0
+            else:
+                raise ArithmeticError("no step along the slope raises the likelihood")
+            b, hess, grad, rise, ll = b + factor * step, new_hess, new_grad, new_ll - ll, new_ll
+            if factor == 1.0 and np.max(np.abs(step)) < tol * (1.0 + np.max(np.abs(b))) and rise < tol * (1.0 + abs(ll)):
+                break
+        else:
+            raise ArithmeticError(f"no convergence in {max_iter} rounds")
+    finally:
         g.unpersist()
-        change = np.max(np.abs(new - b))
-        b = new
-        if change < tol * (1.0 + np.max(np.abs(b))):
-            break
-    else:
-        raise ArithmeticError(f"no convergence in {max_iter} rounds")
-    eta = F.col("__alpha") + linear_predictor(x, b)
-    # log(1 + exp(-s eta)) for the observed side s, without overflow
-    s_eta = F.when(yc > 0.5, eta).otherwise(-eta)
-    dev = F.log1p(F.exp(-F.abs(s_eta))) + F.greatest(-s_eta, F.lit(0.0))
-    total = spread.join_groups(effects).rows.agg((2 * F.sum(dev)).alias("dev")).head()["dev"]
-    spread.release()
-    stats = {"deviance": total, "groups": c["kept"], "groups_dropped": c["dropped"]}
+        spread.release()
+    if separated:
+        left_rows = d.data.join(effects.select(absorb), absorb, "left_semi").agg(F.count(F.lit(1)).alias("n")).head()
+        d.n = int(left_rows["n"])
+    stats = {"deviance": -2 * ll, "groups": groups, "groups_dropped": c["dropped"], "groups_separated": separated}
     return Fit(
-        "binomial", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), 1.0, d.n - len(kept) - c["kept"],
-        normal=True, absorb=absorb, effects=effects, stats=stats,
+        "binomial", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), 1.0, d.n - len(kept) - groups,
+        normal=True, absorb=absorb, effects=effects.select(absorb, moved()), stats=stats, owned=[table],
+        again=lambda c: fe_logit(df.filter(present(df, c)), y, terms, absorb, tol, max_iter),
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg
@@ -20,8 +20,10 @@ def _with_mean(fit: Fit) -> DataFrame:
     if fit.absorb is not None:
         if fit.effects is None:
             raise ValueError("this model keeps no group effects")
-        data = data.join(fit.effects, fit.absorb)  # one row per group; groups left out of the fit go
-        eta = eta + F.col("__alpha")
+        for effects in fit.effects if isinstance(fit.effects, list) else [fit.effects]:
+            group, value = effects.columns
+            data = data.join(effects, group)  # one row per group; groups left out of the fit go
+            eta = eta + F.col(value)
     return data.withColumn("__mean", inverse_link(eta, fit.family))
 
 
@@ -46,12 +48,22 @@ def deviance_residuals(fit: Fit, name: str = "resid") -> DataFrame:
     return _visible(_with_mean(fit).withColumn(name, F.signum(y - mu) * size), name)
 
 
-def lagged_residual(fit: Fit, ids: Sequence[str] | str, time: str, name: str = "reslag1", across: bool = False) -> DataFrame:
-    """Rows with the previous period's deviance residual of the same id, for a refit with that term.
+def lagged_residual(
+    fit: Fit, ids: Sequence[str] | str, time: str, name: str = "reslag1", across: bool = False, periods: int = 1
+) -> DataFrame:
+    """Rows with the deviance residual of the same id `periods` periods before, for a refit with that term.
 
-    The first row of an id has none and drops out of the refit.
+    `time` counts periods. Where that period is missing there is none, and the row drops out of the refit, as does the first
+    of an id. If an id has several rows in that period their mean is taken. A window with a range frame finds the value:
+    rows are shuffled by id once, and nothing is joined. `across=True` takes the row before instead, whatever its period and
+    whosever it is.
     """
-    return lag_by(deviance_residuals(fit, "__res_lag"), ids, time, "__res_lag", name, across).drop("__res_lag")
+    rows = deviance_residuals(fit, "__res_lag")
+    if across:
+        return lag_by(rows, ids, time, "__res_lag", name, True).drop("__res_lag")
+    keys = [ids] if isinstance(ids, str) else list(ids)
+    before = Window.partitionBy(*keys).orderBy(F.col(time).cast("long")).rangeBetween(-periods, -periods)
+    return rows.withColumn(name, F.avg("__res_lag").over(before)).drop("__res_lag")
 
 
 def predict_by(fit: Fit, by: Sequence[str]) -> DataFrame:

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "panelspark", driver_memory: str = "8g") -> SparkSession:
@@ -53,3 +53,41 @@ def checkpointed(df):
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, whichever file system it is on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Owned:
+    """The latest table of a loop, in the shared folder: lineage ends there, and writing the next one removes the one before.
+
+    `release` removes the last one too, which makes every DataFrame that reads it unusable.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.path = spark, name, None
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = scratch_path(self.spark, self.name)
+        df.write.parquet(path)
+        self.release()
+        self.path = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        if self.path:
+            remove_path(self.spark, self.path)
+            self.path = None
+
+
+def handed_over(df: DataFrame, name: str) -> DataFrame:
+    """`df` written to the shared folder and read again, for a plan that needs its rows more than once.
+
+    What is read from it may be read any time, so it stays until the session's folder is cleared.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
