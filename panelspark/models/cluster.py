@@ -220,8 +220,9 @@ def _tests(fit: Fit, per_cluster: DataFrame, varies: bool, terms: Sequence[str]
     for t, name in enumerate(names):
         var = float(loads[:, t] @ meat @ loads[:, t])
         kb = k_mat @ b[t]
-        df = float(trace[t] ** 2 / (s2[t] + 2 * cross[t] + np.sum(kb * kb.T)))
+        spread = float(s2[t] + 2 * cross[t] + np.sum(kb * kb.T))
+        df = float(trace[t] ** 2 / spread) if spread > 0 else None
         se, est = float(np.sqrt(max(var, 0.0))), fit[name]
-        stat = est / se if se > 0 else None
+        stat = est / se if se > 0 and df is not None else None
         rows.append((name, est, se, stat, df, None if stat is None else two_sided_p(stat, df)))
     return fit.spark.createDataFrame(rows, TABLE_SCHEMA)

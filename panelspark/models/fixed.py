@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..session import Owned
 from .design import Term, build_design, drop_aliased, linear_predictor, present
 from .fit import Fit
+from .glm import poisson_groups
 from .moments import triangle_pairs, within_sums
 from .spread import spread_rows
 from .twoway import poisson_two_way
@@ -73,24 +74,10 @@ def fe_poisson(
     else:
         raise ArithmeticError(f"no convergence in {max_iter} rounds")
 
-    yc = F.col("__y")
-    lin = linear_predictor(x, b) + F.col("__off")
-    e = F.exp(lin)
-    per_group = d.data.groupBy(absorb).agg(
-        F.sum(yc).alias("Y"), F.sum(e).alias("E"), F.sum(yc * yc / e).alias("q"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(yc > 0, yc * (F.log(yc) - lin)).otherwise(F.lit(0.0))).alias("dv"),
-    )
-    informative = F.col("Y") > 0
-    s = per_group.agg(
-        F.sum(F.when(informative, F.col("E") / F.col("Y") * F.col("q") - F.col("Y"))).alias("x2"),
-        F.sum(F.when(informative, F.col("dv") - F.col("Y") * F.log(F.col("Y") / F.col("E")))).alias("half_dev"),
-        F.sum(F.when(informative, F.col("n"))).alias("n"),
-        F.count_if(~informative).alias("dropped"),
-    ).head()
+    effects, s = poisson_groups(d.data, absorb, F.exp(linear_predictor(x, b) + F.col("__off")))
     spread.release()
     d.n = int(s["n"])
     df_resid = d.n - len(kept) - groups
-    effects = per_group.filter(informative).select(absorb, F.log(F.col("Y") / F.col("E")).alias("__alpha"))
     stats = {"deviance": 2 * s["half_dev"], "pearson": s["x2"], "groups": groups, "groups_dropped": s["dropped"]}
     return Fit(
         "poisson", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), s["x2"] / df_resid, df_resid,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .design import Term, build_design, drop_aliased, linear_predictor, present
@@ -53,3 +53,21 @@ def poisson_glm(
     again = lambda c: poisson_glm(df.filter(present(df, c)), y, terms, offset, quasi, tol, max_iter)
     stats = {"deviance": s["dev"], "pearson": s["x2"]}
     return Fit("poisson", d, kept, coef, bread, phi, df_resid, normal=not quasi, stats=stats, again=again)
+
+
+def poisson_groups(rows: DataFrame, group: str, mean: Column) -> tuple[DataFrame, Row]:
+    """(group, __alpha), the effects in closed form given the rest of the mean, and the fit's sums over these groups:
+    x2 (Pearson), half_dev, n, dropped (groups whose outcome sums to zero, which have no effect)."""
+    yc = F.col("__y")
+    per = rows.groupBy(group).agg(
+        F.sum(yc).alias("__Y"), F.sum(mean).alias("__E"), F.sum(yc * yc / mean).alias("__q"), F.count(F.lit(1)).alias("__n"),
+        F.sum(F.when(yc > 0, yc * (F.log(yc) - F.log(mean))).otherwise(F.lit(0.0))).alias("__dv"),
+    )
+    informative, factor = F.col("__Y") > 0, F.col("__Y") / F.col("__E")
+    sums = per.agg(
+        F.sum(F.when(informative, F.col("__q") / factor - F.col("__Y"))).alias("x2"),
+        F.sum(F.when(informative, F.col("__dv") - F.col("__Y") * F.log(factor))).alias("half_dev"),
+        F.sum(F.when(informative, F.col("__n"))).alias("n"),
+        F.count_if(~informative).alias("dropped"),
+    ).head()
+    return per.filter(informative).select(group, F.log(factor).alias("__alpha")), sums

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .design import Design, drop_aliased, linear_predictor
+from .glm import poisson_groups
 from .moments import moments, sum_vectors, symmetric, triangle_at, triangle_pairs
 from .spread import spread_rows
 
@@ -151,8 +152,8 @@ def poisson_two_way(d: Design, sets: tuple[str, str], tol: float, max_iter: int)
     spark, x, p = d.data.sparkSession, d.xcols, len(d.xcols)
     large, small, levels = order_sets(d.data, sets)
     yc = F.col("__y")
-    silent = d.data.groupBy(small).agg(F.sum(yc).alias("Y")).filter("Y > 0").select(small)
-    levels = silent.withColumn(LEVEL, F.row_number().over(Window.orderBy(small)) - 1)
+    informative = d.data.groupBy(small).agg(F.sum(yc).alias("__Y")).filter("__Y > 0").select(small)
+    levels = informative.withColumn(LEVEL, F.row_number().over(Window.orderBy(small)) - 1)
     n_levels, all_levels = levels.count(), d.data.select(small).distinct().count()
     data = d.data.join(F.broadcast(levels), small).select(large, small, LEVEL, "__one", *x, "__y", "__off")
     spread = spread_rows(data, large, d.n)
@@ -201,19 +202,7 @@ def poisson_two_way(d: Design, sets: tuple[str, str], tol: float, max_iter: int)
     else:
         raise ArithmeticError(f"no convergence in {max_iter} rounds")
 
-    lin = F.log("__e")
-    per_group = with_mean(b, beta).groupBy(large).agg(
-        F.sum(yc).alias("Y"), F.sum("__e").alias("E"), F.sum(yc * yc / F.col("__e")).alias("q"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(yc > 0, yc * (F.log(yc) - lin)).otherwise(F.lit(0.0))).alias("dv"),
-    )
-    informative = F.col("Y") > 0
-    sums = per_group.agg(
-        F.sum(F.when(informative, F.col("E") / F.col("Y") * F.col("q") - F.col("Y"))).alias("x2"),
-        F.sum(F.when(informative, F.col("dv") - F.col("Y") * F.log(F.col("Y") / F.col("E")))).alias("half_dev"),
-        F.sum(F.when(informative, F.col("n"))).alias("n"),
-        F.count_if(~informative).alias("dropped"),
-    ).head()
-    alpha = per_group.filter(informative).select(large, F.log(F.col("Y") / F.col("E")).alias("__alpha"))
+    alpha, sums = poisson_groups(with_mean(b, beta), large, F.col("__e"))
     by_level = levels.join(F.broadcast(effect(beta)), LEVEL).select(small, "__beta")
     spread.release()
     bread = np.linalg.inv(s.both_out()[np.ix_(kept, kept)])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_sum
+from ..session import handed_over
 from .ranks import average_ranks, exact_quantiles, range_splits
 from .reshape import unpivot
 
@@ -77,11 +78,18 @@ def histogram_all(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
 
 
 def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    rows = df
-    for c, cuts in zip(cols, range_splits(rows, cols)):
-        ranks = average_ranks(rows, c, splits=cuts).select(F.col("value").alias("__v"), F.col("rank").alias(f"__rank_{c}"))
-        df = df.join(ranks, F.col(c).cast("double") == F.col("__v"), "left").drop("__v")
-    return df
+    """One row per row of `df` with `__rank_<col>` for every column, ties at their mean rank.
+
+    The rows are handed over once with an id. All columns are then ranked as one long table keyed by column, and the ranks
+    go back by id, so the number of scans and exchanges does not grow with the columns. A hot value is one row while ranks
+    are made.
+    """
+    rows = handed_over(df.select(*cols).withColumn("__id", F.monotonically_increasing_id()), "ranked-rows")
+    long = rows.select("__id", F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__at", "value"))
+    splits = sorted({x for cuts in range_splits(rows, cols) for x in cuts})
+    ranks = average_ranks(long, "value", by=["__at"], splits=splits).select("__at", "value", "rank")
+    back = long.join(ranks, ["__at", "value"]).groupBy("__id")
+    return back.agg(*[F.max(F.when(F.col("__at") == i, F.col("rank"))).alias(f"__rank_{c}") for i, c in enumerate(cols)])
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:

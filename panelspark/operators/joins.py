@@ -54,3 +54,28 @@ def restrict_to_cohort(ids: DataFrame, events: DataFrame, id_col: str, event_id:
     if keep_unmatched:
         return left_join(ids, events, {id_col: event_id})
     return events.join(ids.select(F.col(id_col).alias(event_id)), event_id, "left_semi")
+
+
+def factorised_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], left_cols: Sequence[str] = (), right_cols: Sequence[str] = (),
+    weight: str = "n", split: int = 1,
+) -> DataFrame:
+    """Inner many-to-many join as (on, left_cols, right_cols, weight): how many pairs of rows each combination stands for.
+
+    Both sides are counted down to their distinct combinations first, so rows that the result does not tell apart are never
+    paired. `split` deals the left combinations of every key over so many tasks, for keys that have very many of them. Rows
+    with a missing key meet nothing.
+    """
+    a = left.groupBy(*on, *left_cols).agg(F.count(F.lit(1)).alias("__left"))
+    b = right.groupBy(*on, *right_cols).agg(F.count(F.lit(1)).alias("__right"))
+    keys = list(on)
+    if split > 1:
+        a = a.withColumn("__part", F.pmod(F.xxhash64(*a.columns), F.lit(split)).cast("int"))
+        b = b.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(split - 1))))
+        keys.append("__part")
+    return a.join(b, keys).select(*on, *left_cols, *right_cols, (F.col("__left") * F.col("__right")).alias(weight))
+
+
+def opened_pairs(joined: DataFrame, weight: str = "n") -> DataFrame:
+    """A row for every pair that `factorised_join` counted."""
+    return joined.withColumn("__pair", F.explode(F.sequence(F.lit(1).cast("long"), F.col(weight)))).drop("__pair", weight)

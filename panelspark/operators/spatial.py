@@ -35,20 +35,47 @@ def _edge_excess(p: Column, q: Column) -> Column:
     return F.lit(2.0) * F.atan(F.tan(half_dx) * (a + b) / (F.lit(1.0) + a * b))
 
 
+def _signed_area(ring: Column) -> Column:
+    """Area on the unit sphere, its sign the ring's orientation; a ring of under four points has none."""
+    edges = F.sequence(F.lit(1), F.size(ring) - 1)
+    total = F.aggregate(edges, F.lit(0.0), lambda s, i: s + _edge_excess(F.element_at(ring, i), F.element_at(ring, i + 1)))
+    return F.when(F.size(ring) >= 4, total).otherwise(F.lit(0.0))
+
+
 def ring_area(ring: Column | str) -> Column:
     """Area in square metres inside one closed ring of lon/lat degrees (first point repeated last)."""
-    r = as_col(ring)
-    edges = F.sequence(F.lit(1), F.size(r) - 1)
-    total = F.aggregate(edges, F.lit(0.0), lambda s, i: s + _edge_excess(F.element_at(r, i), F.element_at(r, i + 1)))
-    return F.when(F.size(r) >= 4, F.abs(total) * F.lit(EARTH_RADIUS_M**2)).otherwise(F.lit(0.0))
+    return F.abs(_signed_area(as_col(ring))) * F.lit(EARTH_RADIUS_M**2)
+
+
+def _inside(point: Column, ring: Column) -> Column:
+    """Whether a point is inside a ring of degrees: an odd number of edges east of it."""
+
+    def crosses(i: Column) -> Column:
+        p, q = F.element_at(ring, i), F.element_at(ring, i + 1)
+        east = (q["x"] - p["x"]) * F.try_divide(point["y"] - p["y"], q["y"] - p["y"]) + p["x"]
+        return ((p["y"] > point["y"]) != (q["y"] > point["y"])) & (point["x"] < east)
+
+    return F.size(F.filter(F.sequence(F.lit(1), F.size(ring) - 1), crosses)) % 2 == 1
 
 
 def polygon_area(rings: Column | str) -> Column:
-    """First ring minus the holes that follow it."""
+    """Area in square metres of a polygon of any number of parts, each with any holes, rings in any order.
+
+    Holes run the other way round than parts, whichever way that is, so the rings' signed areas add up to the area. Where
+    all rings run the same way, a ring is a hole if an odd number of the others surround its first point.
+    """
     rs = as_col(rings)
-    areas = F.transform(rs, lambda r: ring_area(r))
-    outer = F.element_at(areas, 1)
-    return F.lit(2.0) * outer - F.aggregate(areas, F.lit(0.0), lambda s, a: s + a)
+    signed = F.transform(rs, _signed_area)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+
+    def nested(ring: Column, i: Column) -> Column:
+        around = F.filter(rs, lambda other, j: (i != j) & (F.size(other) >= 4) & _inside(F.element_at(ring, 1), other))
+        area = F.abs(_signed_area(ring))
+        return F.when((area == 0) | (F.size(around) % 2 == 0), area).otherwise(-area)
+
+    both = F.exists(signed, lambda a: a > 0) & F.exists(signed, lambda a: a < 0)
+    area = F.when(both | (F.size(rs) < 2), F.abs(total(signed))).otherwise(total(F.transform(rs, nested)))
+    return area * F.lit(EARTH_RADIUS_M**2)
 
 
 def change_from_base(

@@ -10,7 +10,7 @@ from ..functions.columns import (
     share_of_total, step_events, treatment_dummies, value_dummies,
 )
 from ..functions.nulls import indicator
-from ..operators.ranks import exact_quantiles
+from ..operators.ranks import exact_quantiles, global_row_number
 from .frames import STEPS, UNIT_COLUMNS, UNITS, Tables, sql_on
 from .registry import query
 
@@ -169,11 +169,8 @@ def factor_labels(t: Tables):
        FROM (SELECT o_orderpriority, round(avg(o_totalprice), 2) AS m FROM orders GROUP BY 1)""",
 )
 def level_order(t: Tables):
-    from pyspark.sql import Window
-
-    # One row per level of a factor.
     means = t.orders.groupBy("o_orderpriority").agg(F.round(F.avg("o_totalprice"), 2).alias("m"))
-    return means.select("o_orderpriority", F.row_number().over(Window.orderBy("m", "o_orderpriority")).alias("level"))
+    return global_row_number(means, ["m", "o_orderpriority"], "level").select("o_orderpriority", F.col("level").cast("int").alias("level"))
 
 
 @query("b19_constant", "SELECT c_custkey, 1 AS number FROM customer")

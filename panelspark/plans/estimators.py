@@ -10,6 +10,7 @@ from ..models import (
     ols, poisson_glm, predict, predict_by, vif, wls,
 )
 from ..operators.joins import left_join
+from ..session import handed_over
 from .frames import STEPS, WEATHER, Tables, sql_on
 from .registry import query
 
@@ -119,14 +120,58 @@ def poisson_rates(t: Tables):
 
 def _count_model(t: Tables):
     panel = t.panel().withColumn("log_pop", F.log("totpop"))
-    terms = [*STEPS, Factor("qtr", base=2), "uninsur_p", "pov_p", "black_p", *WEATHER, Factor("zip")]
-    return poisson_glm(panel, "asthma_count", terms, offset="log_pop")
+    terms = [*STEPS, Factor("qtr", base=2), "uninsur_p", "pov_p", "black_p", *WEATHER]
+    return fe_poisson(panel, "asthma_count", terms, absorb="zip", offset="log_pop")
 
 
 @query("m3_poisson_area_effects")
 def poisson_areas(t: Tables):
     fit = _count_model(t)
-    out = _est(fit.table(["(Intercept)", *STEPS]))
+    out = _est(fit.table(list(STEPS)))
+    fit.release()
+    return out
+
+
+def _grid(t: Tables, first: int, last: int):
+    """(area, y, n, total, region): orders per area and year, every cell once, empty ones as zero."""
+    joined = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("area"), F.year("o_orderdate").alias("y"), "o_totalprice")
+    sums = joined.filter(f"y between {first} and {last}").groupBy("area", "y").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"))
+    grid = t.nation.select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("region"), F.explode(F.sequence(F.lit(first), F.lit(last))).alias("y"))
+    return grid.join(sums, ["area", "y"], "left").na.fill({"n": 0, "total": 0.0})
+
+
+_GRID = """SELECT n_nationkey AS area, n_regionkey AS region, g.y, coalesce(n, 0) AS n, coalesce(total, 0) AS total
+    FROM nation CROSS JOIN (SELECT unnest(generate_series({0}, {1})) AS y) g LEFT JOIN
+    (SELECT c_nationkey, year(o_orderdate) AS y, count(*) AS n, sum(o_totalprice) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2) s
+    ON c_nationkey = n_nationkey AND s.y = g.y"""
+
+
+@query(
+    "m1_two_way_slope",
+    f"""WITH g AS ({_GRID.format(1993, 1997)}),
+    d AS (SELECT n - avg(n) OVER (PARTITION BY area) - avg(n) OVER (PARTITION BY y) + avg(n) OVER () AS v,
+          total / 1e6 - avg(total / 1e6) OVER (PARTITION BY area) - avg(total / 1e6) OVER (PARTITION BY y) + avg(total / 1e6) OVER () AS x FROM g)
+    SELECT 'millions' AS term, round(sum(x * v) / sum(x * x), 5) AS estimate, round(sqrt((sum(v * v) - sum(x * v) * sum(x * v) / sum(x * x))
+           / (count(*) - 1 - (25 + 5 - 1)) / sum(x * x)), 5) AS se FROM d""",
+)
+def two_way(t: Tables):
+    fit = ols(_grid(t, 1993, 1997).withColumn("millions", F.col("total") / 1e6), "n", ["millions"], absorb=("area", "y"))
+    out = _est(fit.table())
+    fit.release()
+    return out
+
+
+@query(
+    "m3_two_way_step",
+    f"""WITH g AS ({_GRID.format(1994, 1997)}), s AS (SELECT sum(n) FILTER (region < 2 AND y < 1996) AS a, sum(n) FILTER (region < 2 AND y >= 1996) AS b,
+    sum(n) FILTER (region >= 2 AND y < 1996) AS c, sum(n) FILTER (region >= 2 AND y >= 1996) AS d FROM g)
+    SELECT 'step' AS term, round(ln(d * a / (b * c)), 5) AS estimate FROM s""",
+)
+def two_way_step(t: Tables):
+    """With area and year effects, a step of some areas from one year on is the log odds ratio of the pooled counts."""
+    rows = _grid(t, 1994, 1997).withColumn("step", ((F.col("region") >= 2) & (F.col("y") >= 1996)).cast("double"))
+    fit = fe_poisson(rows, "n", ["step"], absorb=("area", "y"))
+    out = fit.table().select("term", F.round("estimate", 5).alias("estimate"))
     fit.release()
     return out
 
@@ -196,17 +241,50 @@ def two_periods(t: Tables):
 def residual_rows(t: Tables):
     n = t.area_orders().groupBy("zip", "qtr").agg(F.count(F.lit(1)).alias("n"))
     fit = poisson_glm(n, "n", [Factor("qtr")])
-    return deviance_residuals(fit).select("zip", "qtr", (F.round("resid", 5)).alias("resid"))
+    out = handed_over(deviance_residuals(fit).select("zip", "qtr", (F.round("resid", 5)).alias("resid")), "residuals")
+    fit.release()
+    return out
+
+
+_THIN = "o_orderpriority = '1-URGENT' AND o_totalprice > 200000"
+
+
+@query(
+    "m6_lagged_by_period",
+    sql_on("area_orders", extra={
+        "n": f"SELECT zip, CAST((year - 1992) * 12 + month AS INTEGER) AS t, qtr, count(*) AS n FROM area_orders WHERE {_THIN} GROUP BY 1, 2, 3",
+        "r": """SELECT zip, t, CASE WHEN n > m THEN 1.0 WHEN n < m THEN -1.0 ELSE 0.0 END * sqrt(greatest(2 * (n * ln(n / m) - (n - m)), 0)) AS resid
+                FROM (SELECT *, avg(n) OVER (PARTITION BY qtr) AS m FROM n)""",
+    }, body="SELECT a.zip, a.t, round(b.resid, 5) AS reslag1 FROM r a LEFT JOIN r b ON a.zip = b.zip AND b.t = a.t - 1"),
+)
+def lagged_months(t: Tables):
+    """Areas have months without an order; the month after such a gap has no lagged residual."""
+    t_col = ((F.col("year") - 1992) * 12 + F.col("month")).cast("int")
+    n = t.area_orders().filter(_THIN).groupBy("zip", t_col.alias("t"), "qtr").agg(F.count(F.lit(1)).alias("n"))
+    fit = poisson_glm(n, "n", [Factor("qtr")])
+    out = handed_over(lagged_residual(fit, "zip", "t").select("zip", "t", F.round("reslag1", 5).alias("reslag1")), "residuals")
+    fit.release()
+    return out
+
+
+@query("m6_logit_refit")
+def logit_refit(t: Tables):
+    months = t.person_months()
+    first = fe_logit(months, "Rscu_bi", ["scrub4", "t", "t_scrub4"], absorb="uid")
+    second = fe_logit(lagged_residual(first, "uid", "t"), "Rscu_bi", ["scrub4", "t", "t_scrub4", "reslag1"], absorb="uid")
+    out = _est(second.table())
+    second.release()
+    first.release()
+    return out
 
 
 @query("m6_autocorrelation_refit")
 def autocorrelation(t: Tables):
-    months = t.person_months().persist()
-    first = fe_poisson(months, "Rscu_sum", ["scrub4", "t", "t_scrub4"], absorb="uid")
+    first = fe_poisson(t.person_months(), "Rscu_sum", ["scrub4", "t", "t_scrub4"], absorb="uid")
     second = fe_poisson(lagged_residual(first, "uid", "t"), "Rscu_sum", ["scrub4", "t", "t_scrub4", "reslag1"], absorb="uid")
     out = _est(second.table())
     second.release()
-    months.unpersist()
+    first.release()
     return out
 
 
@@ -237,7 +315,7 @@ _FIRST = ["(Intercept)", "coalclose", "exposed", "exposed_coalclose"]
 
 @query("m7_cluster_se_did")
 def clustered_did(t: Tables):
-    fit = ols(t.event_panel(), "asthma_count", ["coalclose", "exposed", "exposed_coalclose", "totpop", Factor("zip")])
+    fit = ols(t.event_panel(), "asthma_count", ["coalclose", "exposed", "exposed_coalclose", "totpop"], absorb="zip")
     out = cluster_se(fit, "zip", _FIRST)
     fit.release()
     return out
@@ -246,7 +324,7 @@ def clustered_did(t: Tables):
 @query("m7_cluster_se_weighted")
 def clustered_weighted(t: Tables):
     panel = share_of_total(t.event_panel(), "totpop", "wts")
-    fit = wls(panel, "asthma_count", ["coalclose", "exposed", "exposed_coalclose", Factor("zip")], weights="wts")
+    fit = wls(panel, "asthma_count", ["coalclose", "exposed", "exposed_coalclose"], weights="wts", absorb="zip")
     out = cluster_se(fit, "zip", _FIRST)
     fit.release()
     return out
@@ -255,11 +333,97 @@ def clustered_weighted(t: Tables):
 @query("m7_cluster_se_poisson")
 def clustered_poisson(t: Tables):
     fit = _count_model(t)
-    out = cluster_se(fit, "zip", ["(Intercept)", *STEPS])
+    out = cluster_se(fit, "zip", list(STEPS))
+    fit.release()
+    return out
+
+
+# Two groups of clusters: a cluster's leverage is its share of its group's rows.
+_GROUPS_SE = sql_on("event_panel", extra={
+    "r": "SELECT zip, exposed, asthma_count AS y FROM event_panel WHERE exposed IS NOT NULL",
+    "g": "SELECT exposed, avg(y) AS m, count(*) * 1.0 AS big FROM r GROUP BY 1",
+    "k": """SELECT exposed, m, big, n, sy - n * m AS s, n / (1 - n / big) / (big * big) AS sj, n / sqrt(1 - n / big) / big AS pj
+            FROM (SELECT zip, exposed, count(*) * 1.0 AS n, sum(y) AS sy FROM r GROUP BY 1, 2) JOIN g USING (exposed)""",
+    "v": """SELECT exposed, m, sum(s * s / (1 - n / big)) / (big * big) AS v, sum(sj - pj * pj / big) AS tr,
+            sum(sj * sj) - 2 * sum(sj * pj * pj) / big + power(sum(pj * pj), 2) / (big * big) AS sq FROM k GROUP BY exposed, m, big""",
+}, body="""SELECT '(Intercept)' AS term, round(m, 6) AS estimate, round(sqrt(v), 6) AS se, round(tr * tr / sq, 5) AS df FROM v WHERE exposed = 0 UNION ALL
+           SELECT 'exposed', round(b.m - a.m, 6), round(sqrt(a.v + b.v), 6), round(power(a.tr + b.tr, 2) / (a.sq + b.sq), 5) FROM v a, v b WHERE a.exposed = 0 AND b.exposed = 1""")
+
+
+@query("m7_cluster_se_groups", _GROUPS_SE)
+def clustered_groups(t: Tables):
+    fit = ols(t.event_panel(), "asthma_count", ["exposed"])
+    out = cluster_se(fit, "zip").select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("df", 5).alias("df"))
+    fit.release()
+    return out
+
+
+@query("m7_cluster_se_exposure")
+def clustered_exposure(t: Tables):
+    panel = t.panel().withColumn("tot_exp", F.col("tot_exp") / 1000)
+    fit = ols(panel, "tot_exp", [*STEPS, Factor("qtr", base=2), *WEATHER], absorb="zip")
+    out = cluster_se(fit, "zip", list(STEPS))
+    fit.release()
+    return out
+
+
+@query("m7_cluster_se_first_difference")
+def clustered_difference(t: Tables):
+    # One row an area: the correction is the leverage of a row.
+    fit = ols(differences(t), "asthma_diff", [Factor("hyads_group"), "totpop"])
+    out = cluster_se(fit, "zip")
+    fit.release()
+    return out
+
+
+_CONTINUOUS = ["coalclose", "pre_hyads", "exposed_coalclose_c"]
+_ADJUSTED = ["uninsur_p", Factor("qtr", base=2), Factor("year"), "pov_p", "black_p", *WEATHER]
+
+
+def _with_cluster_se(fit):
+    """CR2 tests of the terms that area effects leave identified."""
+    out = cluster_se(fit, "zip", _CONTINUOUS)
+    fit.release()
+    return out
+
+
+@query(
+    "m1_continuous_did_slope",
+    sql_on("event_panel", extra={"g": """SELECT sum(x1 * x1) AS a11, sum(x1 * x2) AS a12, sum(x2 * x2) AS a22, sum(x1 * y) AS b1, sum(x2 * y) AS b2 FROM
+        (SELECT asthma_count - avg(asthma_count) OVER (PARTITION BY zip) AS y, coalclose - avg(coalclose) OVER (PARTITION BY zip) AS x1,
+                exposed_coalclose_c - avg(exposed_coalclose_c) OVER (PARTITION BY zip) AS x2 FROM event_panel WHERE pre_hyads IS NOT NULL)"""},
+        body="""SELECT 'coalclose' AS term, round((b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12), 5) AS estimate FROM g UNION ALL
+                SELECT 'exposed_coalclose_c', round((b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12), 5) FROM g"""),
+)
+def continuous_slope(t: Tables):
+    fit = ols(t.event_panel(), "asthma_count", _CONTINUOUS, absorb="zip")
+    out = fit.table(["coalclose", "exposed_coalclose_c"]).select("term", F.round("estimate", 5).alias("estimate"))
     fit.release()
     return out
 
 
+@query("m1_continuous_did")
+def continuous_did(t: Tables):
+    return _with_cluster_se(ols(t.event_panel(), "asthma_count", [*_CONTINUOUS, "totpop"], absorb="zip"))
+
+
+@query("m1_continuous_did_adjusted")
+def continuous_did_adjusted(t: Tables):
+    return _with_cluster_se(ols(t.event_panel(), "asthma_count", [*_CONTINUOUS, "totpop", *_ADJUSTED], absorb="zip"))
+
+
+@query("m2_continuous_did_weighted")
+def continuous_did_weighted(t: Tables):
+    panel = share_of_total(t.event_panel(), "totpop", "wts")
+    return _with_cluster_se(wls(panel, "asthma_count", _CONTINUOUS, weights="wts", absorb="zip"))
+
+
+@query("m2_continuous_did_weighted_adjusted")
+def continuous_did_weighted_adjusted(t: Tables):
+    panel = share_of_total(t.event_panel(), "totpop", "wts")
+    return _with_cluster_se(wls(panel, "asthma_count", [*_CONTINUOUS, *_ADJUSTED], weights="wts", absorb="zip"))
+
+
 def differences(t: Tables):
     """One row per area: pre/post differences, exposure group, baseline population and weight."""
     from .relations import pre_post_differences
@@ -279,6 +443,44 @@ def intervals(t: Tables):
     return out
 
 
+@query(
+    "m8_rate_intervals",
+    sql_on("event_panel", extra={"r": _RATES, "e": """
+        SELECT '(Intercept)' AS term, ln(y / pop) AS b, sqrt(1 / y) AS se FROM r WHERE exposed = 0 UNION ALL
+        SELECT 'exposed', ln(a.y / a.pop) - ln(b.y / b.pop), sqrt(1 / a.y + 1 / b.y) FROM r a, r b WHERE a.exposed = 1 AND b.exposed = 0"""},
+        body="SELECT term, round(b, 6) AS estimate, round(b - 1.959963984540054 * se, 6) AS low, round(b + 1.959963984540054 * se, 6) AS high FROM e"),
+)
+def rate_intervals(t: Tables):
+    panel = t.event_panel().withColumn("log_pop", F.log("totpop"))
+    fit = poisson_glm(panel, "asthma_count", ["exposed"], offset="log_pop", quasi=False)
+    out = fit.confint().select("term", *[F.round(c, 6).alias(c) for c in ("estimate", "low", "high")])
+    fit.release()
+    return out
+
+
+@query("m8_weighted_intervals")
+def weighted_intervals(t: Tables):
+    d = share_of_total(differences(t), "totpop", "wts")
+    fit = wls(d, "asthma_diff", ["hyads_diff", "uninsur_diff", "totpop_diff", "Temp_diff", "Pres_diff"], weights="wts")
+    out = fit.confint()
+    fit.release()
+    return out
+
+
+_THREE = ["l_quantity", "l_discount", "l_extendedprice"]
+
+
+@query(
+    "m9_vif_three",
+    "WITH r AS (SELECT corr(l_quantity, l_discount) AS ab, corr(l_quantity, l_extendedprice) AS ac, corr(l_discount, l_extendedprice) AS bc FROM lineitem), "
+    "d AS (SELECT *, 1 + 2 * ab * ac * bc - ab * ab - ac * ac - bc * bc AS det FROM r) "
+    "SELECT 'l_quantity' AS term, round((1 - bc * bc) / det, 6) AS vif FROM d UNION ALL SELECT 'l_discount', round((1 - ac * ac) / det, 6) FROM d "
+    "UNION ALL SELECT 'l_extendedprice', round((1 - ab * ab) / det, 6) FROM d",
+)
+def inflation_of_three(t: Tables):
+    return vif(t.lineitem.select(*_THREE), _THREE, cache=False).withColumn("vif", F.round("vif", 6))
+
+
 @query(
     "m9_vif",
     "SELECT unnest(['l_quantity', 'l_extendedprice']) AS term, round(1 / (1 - power(corr(l_quantity, l_extendedprice), 2)), 6) AS vif FROM lineitem",
@@ -295,7 +497,8 @@ def inflation(t: Tables):
 def predictions(t: Tables):
     # With one dummy per month, the mean prediction of a month is its mean outcome.
     fit = poisson_glm(t.person_months(), "Rscu_sum", [Factor("month")])
-    means = predict_by(fit, ["month"])
+    means = handed_over(predict_by(fit, ["month"]), "predicted-means")
+    fit.release()
     switch = F.when(F.col("month") < 6, "pre").when(F.col("month") >= 6, "post")
     return means.select("month", switch.alias("switch"), F.round("mean_predicted", 6).alias("mean_rscu"))
 
@@ -307,7 +510,9 @@ def predictions(t: Tables):
 def person_totals(t: Tables):
     # Each absorbed effect reproduces its person's total.
     fit = fe_poisson(t.person_months(), "Rscu_sum", ["scrub4", "t", "t_scrub4"], absorb="uid")
-    return predict(fit, "mu").groupBy("uid").agg(F.round(F.sum("mu"), 7).alias("total"))
+    out = handed_over(predict(fit, "mu").groupBy("uid").agg(F.round(F.sum("mu"), 7).alias("total")), "person-totals")
+    fit.release()
+    return out
 
 
 @query(
@@ -361,7 +566,30 @@ def aliased(t: Tables):
     return out
 
 
-@query("m1_first_difference_groups")
+def _differences_sql() -> dict[str, str]:
+    from .relations import POST_SQL, PRE_SQL, _MEASURES, strict_when
+
+    names = list(_MEASURES)
+    changes = ", ".join(f"{strict_when(POST_SQL, c)} - {strict_when(PRE_SQL, c)} AS {n}" for n, c in _MEASURES.items())
+    return {
+        "changes": f"SELECT zip, {changes} FROM panel GROUP BY zip",
+        "d": f"""SELECT c.zip, asthma_diff AS y, b.totpop AS x, CASE WHEN hyads_diff / 1000 < -200 THEN 4 WHEN hyads_diff < 0 THEN 3
+                 WHEN hyads_diff / 1000 < 200 THEN 2 ELSE 1 END AS k FROM changes c JOIN demographics b ON c.zip = b.zcta5a AND b.year = 1997
+                 WHERE {' AND '.join(f'{n} IS NOT NULL' for n in names)}""",
+        "m": """SELECT k, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy,
+                var_pop(y) * count(*) AS syy FROM d GROUP BY k""",
+        "t": """SELECT sum(sxy) / sum(sxx) AS b, sum(sxx) AS sxx, (sum(syy) - sum(sxy) * sum(sxy) / sum(sxx)) / (sum(n) - count(*) - 1) AS s2 FROM m""",
+        "z": "SELECT * FROM m ORDER BY k LIMIT 1",
+    }
+
+
+@query(
+    "m1_first_difference_groups",
+    sql_on("panel", extra=_differences_sql(), body="""
+        SELECT '(Intercept)' AS term, round(my - b * mx, 5) AS estimate, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 5) AS se FROM (SELECT z.n, z.mx, z.my, t.* FROM z, t) UNION ALL
+        SELECT 'hyads_group' || m.k, round(m.my - z.my - b * (m.mx - z.mx), 5), round(sqrt(s2 * (1.0 / m.n + 1.0 / z.n + power(m.mx - z.mx, 2) / t.sxx)), 5)
+        FROM m, z, t WHERE m.k <> z.k UNION ALL SELECT 'totpop', round(b, 5), round(sqrt(s2 / sxx), 5) FROM t"""),
+)
 def difference_groups(t: Tables):
     fit = ols(differences(t), "asthma_diff", [Factor("hyads_group"), "totpop"])
     out = _est(fit.table())

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import relabel, row_total
 from ..functions.nulls import strict_avg, strict_sum
 from ..functions.text import pad_code
-from ..models import Harmonic, fe_poisson, predict_by
+from ..models import Factor, Harmonic, fe_poisson, predict_by
 from ..operators.aggregates import corr_matrix, mean_of_sums, period_apply, stack_offsets, triangle
 from ..operators.joins import left_join
 from ..operators.ranks import exact_quantiles, null_safe_ntile
 from ..operators.reshape import unpivot
 from ..operators.windows import row_slice
-from ..session import scratch_path
+from ..session import handed_over, scratch_path
 from ..sources.tables import period_dim, read_delimited, write_delimited
-from .frames import EXPOSURE_UNITS, Tables, sql_on
+from .frames import EXPOSURE_UNITS, Tables, exposure_groups_of, sql_on
 from .registry import query, settled, settled_sql
 from .relations import CODES, POST_SQL, PRE_SQL, pre_post_differences, strict_when
 
@@ -35,7 +35,8 @@ _PANEL = ("zip", "yrq", "asthma_count", "tot_exp", "hyads_tot", "totpop")
     ),
 )
 def parallel_trends(t: Tables):
-    rows = left_join(t.panel().select(*_PANEL), t.exposure_groups(), ["zip"]).na.drop("any")
+    panel = handed_over(t.panel().select(*_PANEL), "trend-rows")  # line items and orders are joined once
+    rows = left_join(panel, exposure_groups_of(panel), ["zip"]).na.drop("any")
     return rows.groupBy("exposed", "yrq").agg(F.round(strict_avg("asthma_count"), 6).alias("mean_asthma"))
 
 
@@ -74,7 +75,7 @@ def exposure_deciles(t: Tables):
     sql_on("panel", body="SELECT " + ", ".join(f"round(quantile_cont(tot_exp, {i / 10}), 4) AS q{i * 10}" for i in range(1, 11)) + " FROM panel"),
 )
 def decile_cuts(t: Tables):
-    wide = row_total(t.wide(), "tot_exp", EXPOSURE_UNITS).select("tot_exp").persist()
+    wide = handed_over(row_total(t.wide(), "tot_exp", EXPOSURE_UNITS).select("tot_exp"), "decile-rows")
     q = exact_quantiles(wide, "tot_exp", [i / 10 for i in range(1, 11)])
     return q.select(*[F.round(c, 4).alias(c) for c in q.columns])
 
@@ -114,10 +115,26 @@ def daily_use(t: Tables):
     return rows.groupBy("Date").agg(settled(F.avg("Rscu"), 8).alias("rscu"))
 
 
+@query(
+    "q9_predicted_by_year",
+    sql_on("person_months", body="""SELECT CAST(year(period) AS INTEGER) AS year, CASE WHEN year(period) < 1998 THEN 'Pre' ELSE 'Post' END AS switch,
+           round(avg(Rscu_sum), 6) AS mean_rscu FROM person_months GROUP BY 1, 2"""),
+)
+def predicted_by_year(t: Tables):
+    # With one dummy a year the predicted mean of a year is the observed one, whatever the persons' effects.
+    months = t.person_months().withColumn("year", F.year("period"))
+    fit = fe_poisson(months, "Rscu_sum", [Factor("year")], absorb="uid")
+    means = handed_over(predict_by(fit, ["year"]), "predicted-means")
+    fit.release()
+    switch = F.when(F.col("year") < 1998, "Pre").otherwise("Post")
+    return means.select("year", switch.alias("switch"), F.round("mean_predicted", 6).alias("mean_rscu"))
+
+
 @query("q9_predicted_means")
 def predicted_means(t: Tables):
     fit = fe_poisson(t.person_months(), "Rscu_sum", ["scrub4", "t", "t_scrub4", Harmonic("month", 2, 12)], absorb="uid")
-    means = predict_by(fit, ["t"])
+    means = handed_over(predict_by(fit, ["t"]), "predicted-means")
+    fit.release()
     switch = F.when(F.col("t") < 42, "Pre").when(F.col("t") >= 42, "Post")
     return means.select("t", switch.alias("switch"), F.round("mean_predicted", 6).alias("mean_rscu"))
 
@@ -138,7 +155,7 @@ def predicted_means(t: Tables):
     ) + ") WHERE value IS NOT NULL"),
 )
 def heat_map_cells(t: Tables):
-    d = pre_post_differences(t).select("hyads_diff", "asthma_diff", "RH_diff").persist()
+    d = pre_post_differences(t).select("hyads_diff", "asthma_diff", "RH_diff")
     return triangle(corr_matrix(d, d.columns, "spearman", 2)).select("var1", "var2", "value")
 
 

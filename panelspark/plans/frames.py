@@ -16,6 +16,7 @@ from ..operators.contrasts import exposed_groups
 from ..operators.joins import left_join
 from ..operators.reshape import pivot_units
 from ..operators.windows import group_sequence
+from ..session import handed_over
 from ..sources.tables import read_table
 
 UNITS = ["A-F", "A-O", "N-F", "N-O", "R-F", "R-O"]
@@ -31,6 +32,13 @@ EVENT_QUARTERS = ["1997-2", "1997-3", "1997-4", "1998-1", "1998-2", "1998-3", "1
 WEATHER = ["RH_Quarter", "Pres_Quarter", "WS_Quarter", "Temp_Quarter"]
 
 
+def exposure_groups_of(panel: DataFrame) -> DataFrame:
+    """(zip, pre_hyads, exposed) from the rows of an area-quarter table up to the quarter of the event."""
+    pre = F.col("yrq").isin([q for q in EVENT_QUARTERS if q not in POST_QUARTERS])
+    groups = exposed_groups(panel.filter(pre), ["zip"], F.lit(True), "hyads_tot")
+    return groups.select("zip", (F.col("pre_exposure") / 1000).alias("pre_hyads"), "exposed")
+
+
 class Tables:
     """The given tables by name, and the panels derived from them."""
 
@@ -127,10 +135,13 @@ class Tables:
         return step_events(p, "time", STEPS)
 
     def event_panel(self) -> DataFrame:
-        """The nine quarters around the event with post flag, pre-period exposure group and products."""
-        p = self.panel().filter(F.col("yrq").isin(EVENT_QUARTERS))
+        """The nine quarters around the event with post flag, pre-period exposure group and products.
+
+        Line items and orders are joined once: the area-quarters are handed over, and the groups are sums over them.
+        """
+        p = handed_over(self.panel().filter(F.col("yrq").isin(EVENT_QUARTERS)), "event-rows")
         p = p.withColumn("coalclose", F.col("yrq").isin(POST_QUARTERS).cast("int"))
-        p = left_join(p, self.exposure_groups(), ["zip"])
+        p = left_join(p, exposure_groups_of(p), ["zip"])
         return p.withColumns({
             "exposed_coalclose": F.col("exposed") * F.col("coalclose"),
             "exposed_coalclose_c": F.col("pre_hyads") * F.col("coalclose"),
@@ -138,9 +149,7 @@ class Tables:
 
     def exposure_groups(self) -> DataFrame:
         """(zip, pre_hyads, exposed) from the quarters before the event; only those orders are scanned."""
-        pre = row_total(self.wide(PRE_RANGE), "hyads_tot", CLOSING_UNITS)
-        groups = exposed_groups(pre, ["zip"], F.lit(True), "hyads_tot")
-        return groups.select("zip", (F.col("pre_exposure") / 1000).alias("pre_hyads"), "exposed")
+        return exposure_groups_of(row_total(self.wide(PRE_RANGE), "hyads_tot", CLOSING_UNITS))
 
     def person_days(self) -> DataFrame:
         """(uid, Date, Rscu, Mold, WindSpeed, RelativeHumidity): one row per order; some Mold values are missing."""
@@ -165,7 +174,7 @@ class Tables:
         return m.withColumns({"t_scrub4": F.col("t") * F.col("scrub4"), "Rscu_bi": (F.col("Rscu") > 2.5).cast("int")})
 
     def rings(self) -> DataFrame:
-        """(zip, c_custkey, rings): a quadrilateral with a square hole per customer, in degrees."""
+        """(zip, c_custkey, rings, island): a quadrilateral with a square hole per customer, in degrees, and a triangle beside it."""
         x = F.col("c_acctbal") / 200.0
         y = (F.col("c_custkey") % 6000) / 100.0 - 30.0
         w = F.lit(0.5) + F.col("c_nationkey") / 50.0
@@ -175,8 +184,9 @@ class Tables:
 
         outer = F.array(pt(F.lit(0.0), F.lit(0.0)), pt(w, F.lit(0.1)), pt(w * 1.1, w), pt(F.lit(0.05), w * 0.9), pt(F.lit(0.0), F.lit(0.0)))
         h = lambda a: F.lit(0.2 + a)
-        hole = F.array(pt(h(0), h(0)), pt(h(0.1), h(0)), pt(h(0.1), h(0.1)), pt(h(0), h(0.1)), pt(h(0), h(0)))
-        return self.customer.select(pad_code("c_nationkey").alias("zip"), "c_custkey", F.array(outer, hole).alias("rings"))
+        hole = F.array(pt(h(0), h(0)), pt(h(0), h(0.1)), pt(h(0.1), h(0.1)), pt(h(0.1), h(0)), pt(h(0), h(0)))
+        island = F.array(pt(F.lit(3.0), F.lit(0.0)), pt(F.lit(3.4), F.lit(0.1)), pt(F.lit(3.1), F.lit(0.5)), pt(F.lit(3.0), F.lit(0.0)))
+        return self.customer.select(pad_code("c_nationkey").alias("zip"), "c_custkey", F.array(outer, hole).alias("rings"), island.alias("island"))
 
 
 _PIVOT = ",\n".join(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import pad_code
-from ..operators.spatial import attach_boundaries, change_from_base, crosswalk, mean_change_labels, polygon_area
+from ..operators.joins import factorised_join
+from ..operators.spatial import attach_boundaries, change_from_base, mean_change_labels, polygon_area
 from .calendar import LABEL_SQL
 from .frames import Tables, sql_on
 from .registry import query, settled, settled_sql
@@ -36,8 +37,9 @@ def crosswalked(t: Tables):
     areas = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         t.region, F.col("n_regionkey") == F.col("r_regionkey")
     ).select(F.col("r_name").alias("ZCTA"), pad_code("c_nationkey").alias("own"))
-    pairs = crosswalk(areas, cw)
-    return pairs.filter(F.col("own") == F.col("ZIP")).groupBy("ZCTA", "ZIP").agg(F.count(F.lit(1)).alias("n"))
+    # Customers are counted by code before they meet the codes of their region; no customer is paired with a code.
+    pairs = factorised_join(areas, cw.withColumn("ZIP", pad_code("ZIP")), ["ZCTA"], ["own"], ["ZIP"], split=4)
+    return pairs.filter(F.col("own") == F.col("ZIP")).groupBy("ZCTA", "ZIP").agg(F.sum("n").alias("n"))
 
 
 @query(
@@ -48,7 +50,7 @@ def crosswalked(t: Tables):
 def many_to_many(t: Tables):
     left = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
     right = t.supplier.select(F.col("s_nationkey").alias("c_nationkey"), "s_suppkey")
-    return left.join(right, "c_nationkey").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("pairs"))
+    return factorised_join(left, right, ["c_nationkey"], weight="pairs")
 
 
 def _edge(x1: str, y1: str, x2: str, y2: str) -> str:
@@ -61,15 +63,16 @@ def _ring_sql(points: list[tuple[str, str]]) -> str:
     return f"abs({edges})"
 
 
-_OUTER = _ring_sql([("x", "y"), ("x + w", "y + 0.1"), ("x + w * 1.1", "y + w"), ("x + 0.05", "y + w * 0.9")])
-_HOLE = _ring_sql([("x + 0.2", "y + 0.2"), ("x + 0.3", "y + 0.2"), ("x + 0.3", "y + 0.3"), ("x + 0.2", "y + 0.3")])
+OUTER_SQL = _ring_sql([("x", "y"), ("x + w", "y + 0.1"), ("x + w * 1.1", "y + w"), ("x + 0.05", "y + w * 0.9")])
+HOLE_SQL = _ring_sql([("x + 0.2", "y + 0.2"), ("x + 0.3", "y + 0.2"), ("x + 0.3", "y + 0.3"), ("x + 0.2", "y + 0.3")])
+ISLAND_SQL = _ring_sql([("x + 3.0", "y"), ("x + 3.4", "y + 0.1"), ("x + 3.1", "y + 0.5")])
+CORNERS_SQL = "(SELECT *, c_acctbal / 200.0 AS x, (c_custkey % 6000) / 100.0 - 30.0 AS y, 0.5 + c_nationkey / 50.0 AS w FROM customer)"
 
 
 @query(
     "n3_polygon_area",
-    f"""SELECT zip, count(*) AS n, round(sum(({_OUTER} - {_HOLE}) * 6371.01 * 6371.01), 3) AS km2 FROM
-        (SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zip, c_acctbal / 200.0 AS x, (c_custkey % 6000) / 100.0 - 30.0 AS y,
-                0.5 + c_nationkey / 50.0 AS w FROM customer) GROUP BY zip""",
+    f"""SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS zip, count(*) AS n, round(sum(({OUTER_SQL} - {HOLE_SQL}) * 6371.01 * 6371.01), 3) AS km2
+        FROM {CORNERS_SQL} GROUP BY 1""",
 )
 def areas_of_polygons(t: Tables):
     rows = t.rings().select("zip", polygon_area("rings").alias("m2"))

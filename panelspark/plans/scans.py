@@ -12,10 +12,11 @@ from ..operators.spatial import polygon_area
 from ..session import scratch_path
 from ..sources.tables import (
     BOUNDARY_SCHEMA, id_table, load_cohort, period_dim, read_boundaries, read_delimited, read_spreadsheet_export,
-    save_cohort, write_delimited,
+    save_cohort, wkb_of_parts, write_delimited,
 )
 from .estimators import DID_SQL
 from .frames import Tables, sql_on
+from .places import CORNERS_SQL, HOLE_SQL, ISLAND_SQL, OUTER_SQL
 from .registry import query
 
 
@@ -56,18 +57,19 @@ def spreadsheet_export(t: Tables):
 
 @query(
     "a4_boundary_table",
-    "SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS ZCTA5CE10, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS land "
-    "FROM customer GROUP BY 1",
+    f"""SELECT lpad(CAST(c_nationkey AS VARCHAR), 5, '0') AS ZCTA5CE10, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS land,
+        round(sum(({OUTER_SQL} - {HOLE_SQL} + {ISLAND_SQL}) * 6371.01 * 6371.01), 3) AS km2 FROM {CORNERS_SQL} GROUP BY 1""",
 )
 def boundary_table(t: Tables):
-    made = t.rings().withColumns({"ZCTA5CE10": F.col("zip"), "ALAND10": F.col("c_custkey")})
+    parts = wkb_of_parts(F.array(F.col("rings"), F.array("island")))
+    made = t.rings().withColumns({"ZCTA5CE10": F.col("zip"), "ALAND10": F.col("c_custkey"), "geometry": parts})
     fields = [f.split(" ", 1) for f in BOUNDARY_SCHEMA.split(", ")]
-    have = {"ZCTA5CE10", "ALAND10", "rings"}
+    have = {"ZCTA5CE10", "ALAND10", "geometry"}
     out = made.select(*[F.col(n) if n in have else F.lit(None).cast(ty).alias(n) for n, ty in fields])
     path = scratch_path(t.spark, "boundaries")
     out.write.parquet(path)
-    areas = read_boundaries(t.spark, path).filter(polygon_area("rings") >= 0)
-    return areas.groupBy("ZCTA5CE10").agg(F.count(F.lit(1)).alias("n"), F.sum("ALAND10").alias("land"))
+    areas = read_boundaries(t.spark, path).groupBy("ZCTA5CE10")
+    return areas.agg(F.count(F.lit(1)).alias("n"), F.sum("ALAND10").alias("land"), F.round(F.sum(polygon_area("rings")) / 1e6, 3).alias("km2"))
 
 
 @query(

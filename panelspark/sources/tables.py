@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import SPREADSHEET_ORIGIN, from_serial
+from ..functions.wkb import MULTI_POLYGON, POLYGON, rings_of_wkb
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -41,17 +45,38 @@ def read_spreadsheet_export(
     return df.withColumns({c: from_serial(c, origin) for c in date_columns})
 
 
-# Boundary attributes kept as text codes, land and water area in square metres, one array of rings.
+# Boundary attributes kept as text codes, land and water area in square metres, the geometry as well-known binary.
 BOUNDARY_SCHEMA = (
     "ZCTA5CE10 string, GEOID10 string, CLASSFP10 string, MTFCC10 string, FUNCSTAT10 string, "
     "ALAND10 bigint, AWATER10 bigint, INTPTLAT10 string, INTPTLON10 string, PARTFLG10 string, STATEFP10 string, "
-    "rings array<array<struct<x:double,y:double>>>"
+    "geometry binary"
 )
 
 
 def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """Boundary table as parquet: attributes plus polygon rings in degrees."""
-    return spark.read.schema(BOUNDARY_SCHEMA).parquet(path)
+    """Boundary table as parquet: attributes, and the rings of its (multi-)polygons in degrees in place of the bytes."""
+    table = spark.read.schema(BOUNDARY_SCHEMA).parquet(path)
+    return table.withColumn("rings", rings_of_wkb("geometry")).drop("geometry")
+
+
+def _multi_polygon(parts) -> bytes:
+    out = [struct.pack("<BII", 1, MULTI_POLYGON, len(parts))]
+    for rings in parts:
+        out.append(struct.pack("<BII", 1, POLYGON, len(rings)))
+        for ring in rings:
+            out.append(struct.pack("<I", len(ring)))
+            out += [struct.pack("<dd", p["x"], p["y"]) for p in ring]
+    return b"".join(out)
+
+
+def wkb_of_parts(parts: Column) -> Column:
+    """Multi-polygon bytes of an array of polygons, each an array of rings; for tables that others read as geometry."""
+
+    @F.arrow_udf("binary")
+    def encoded(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else _multi_polygon(x) for x in column.to_pylist()], pa.binary())
+
+    return encoded(parts)
 
 
 def save_cohort(ids: DataFrame, path: str) -> str:
