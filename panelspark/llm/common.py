@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.session import checkpointed, scratch_path  # noqa: F401  (re-exported)
@@ -36,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """`written`, and how many rows there were, counted while writing."""
+    seen = Observation()
+    return written(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -52,3 +59,18 @@ def fenced(df: DataFrame) -> DataFrame:
     every step of a long chain of array functions; the plan then grows beyond any use.
     """
     return df.withColumn("_fence", F.monotonically_increasing_id()).filter("_fence >= 0").drop("_fence")
+
+
+def shielded(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """`operator(docs, ...)`, whose own working columns begin with an underscore, for docs that have such columns too: they
+    are called something else meanwhile and come back as they were."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        hidden = {c: f"input {i}" for i, c in enumerate(docs.columns) if c.startswith("_")}
+        if not hidden:
+            return operator(docs, *args, **kwargs)
+        out = operator(docs.withColumnsRenamed(hidden), *args, **kwargs)
+        return out.withColumnsRenamed({new: old for old, new in hidden.items()})
+
+    return run

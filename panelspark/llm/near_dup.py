@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, query, text_key, written
+from .common import counted, documents, query, text_key, written
 from .components import components
 from .words import blocks, mix, shingles, utf8
 
@@ -148,18 +148,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leaders = index.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("copies", "node")).alias("lead"))
     pairs = index.join(leaders, "value").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
     pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-    links = checkpointed(_links(checkpointed(_plausible(pairs, classes)), docs))
-    found = checkpointed(components(links))
+    found = components(_links(written(_plausible(pairs, classes), "near-dup-pairs"), docs))
 
     member = _members(index, found)
     rest = _across(member.filter(f"outside <= {LONG}"))
-    long = checkpointed(member.filter(f"outside > {LONG}").select("node").distinct())
-    if not long.isEmpty():
+    long, n_long = counted(member.filter(f"outside > {LONG}").select("node").distinct(), "near-dup-long")
+    if n_long:
         rest = rest.union(_across(_members(_whole_index(_whole(long, docs)), found))).distinct()
-    rest = checkpointed(_plausible(rest, classes))
-    if not rest.isEmpty():
+    rest, n_rest = counted(_plausible(rest, classes), "near-dup-rest")
+    if n_rest:
+        # only components meet here, so these are what is left to link
         more = _links(rest, docs)
-        found = checkpointed(components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+        for end in ("a", "b"):
+            more = more.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        joined = components(more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        further = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        found = found.join(further, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        found = written(found.union(joined.join(found, "node", "left_anti").select("node", "root")), "near-dup-found")
 
     named = classes.select("k1", "k2", "n", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -176,7 +181,7 @@ def _members(index: DataFrame, found: DataFrame) -> DataFrame:
     member = index.select("value", "node", "n", "reach").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = member.groupBy("value", "root").agg(F.count("*").alias("members"))
     per = per.groupBy("value").agg(F.max_by("root", F.struct("members", "root")).alias("main"), (F.sum("members") - F.max("members")).alias("outside")).filter("outside > 0")
-    return checkpointed(member.join(per, "value").select("value", "node", "n", "reach", "root", "outside", (F.col("root") == F.col("main")).alias("inner")))
+    return written(member.join(per, "value").select("value", "node", "n", "reach", "root", "outside", (F.col("root") == F.col("main")).alias("inner")), "near-dup-members")
 
 
 def _across(member: DataFrame) -> DataFrame:
