@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts without a word are linked with nothing and stay, as do rows of groups in which nobody has a doc_id.
     """
-    found = near_duplicates(docs)
+    found = written(near_duplicates(docs), "pipeline-duplicates")
     chosen = found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.min("tk").alias("tk"))
     alone = found.filter("n_shingles = 0 or component_id is null").select("doc_id", "tk").distinct()
     keep = written(chosen.union(alone).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")), "pipeline-kept")
