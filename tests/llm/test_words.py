@@ -85,3 +85,28 @@ def test_plans_hold_every_piece_once(n, mean):
     assert found == dict(zip(edges.tolist(), counts.tolist()))
     if n >= 3000:
         assert sequences <= 1.02 * lengths.sum() / 4096 + 1
+
+
+@pytest.mark.parametrize("copies", [6, 40, 1000])
+def test_a_passage_that_repeats_costs_few_symbols(copies):
+    """Rounds go on until no pair is frequent, so 4,000 ids become a few symbols wherever they repeat often enough."""
+    rng = np.random.default_rng(copies)
+    passage = rng.integers(3, 60_000, size=4000).astype(np.uint32)
+    noise = [rng.integers(3, 60_000, size=5).astype(np.uint32) for _ in range(copies)]
+    ids = np.concatenate([x for n in noise for x in (n, passage)])
+    symbols, left, right = compress(ids, 60_000, 2)
+    assert (expand(symbols, left, right, 60_000) == ids).all()
+    assert len(symbols) < copies * (5 + 2 * int(np.log2(4000)))
+    assert len(left) < 2 * 4000
+
+
+def test_blocks_are_read_in_pieces():
+    rng = np.random.default_rng(8)
+    ids = np.concatenate([np.tile(rng.integers(3, 50, size=200), 30), rng.integers(3, 70_000, size=5000), [2] * 50]).astype(np.uint32)
+    (block,) = blocks_of(pack([1], np.array([len(ids)]), ids, 70_001, 2))
+    assert (block.ids() == ids).all() and block.n_tokens == len(ids)
+    for _ in range(200):
+        a, b = sorted(rng.integers(0, len(ids) + 1, size=2).tolist())
+        assert (block.between(a, b) == ids[a:b]).all()
+    with pytest.raises(ValueError, match="no token"):
+        pack([1], np.array([1]), np.array([9], np.uint32), 9, 2)
