@@ -6,10 +6,11 @@ compared between groups. The windows of a text with one owner are neighbours; th
 
 1. Each text's snippets are named by (owner hash, snippet hash) and counted; owners met once are done.
 2. One text per distinct snippet of the others is sent to its owner's group, with its count.
-3. A task puts many groups into one string, sorts its suffixes to depth `WINDOW` by prefix doubling, and marks runs of
-   suffixes that agree that far. In such a run a position has a previous or next smaller position in suffix order, that
-   is an earlier match, unless it is the run's smallest: its longest previous factor is then `WINDOW` or more. The same
-   from the other end tells whether a later match exists.
+3. A task puts many groups into one string, in the order of first occurrence, and sorts its suffixes to depth `WINDOW` by
+   prefix doubling; the ranks of the doublings give the common prefixes of neighbours. For every position the previous and
+   the next smaller position in suffix order are found, and with them the longest previous factor, as far as `WINDOW`: it is
+   the longer of the two common prefixes. The nearest larger positions give the longest later factor the same way. A window
+   whose longest previous factor is `WINDOW` is a later copy; with a later factor of that length it has one.
 4. The marks go back to all places of the snippets, and to the texts.
 
 An owner with one snippet needs no sorting: the windows of a snippet are all different, and its count says the rest. A group
@@ -36,17 +37,22 @@ GROUP = 2000
 #: Bytes whose suffixes are sorted together, and bytes of texts worked on at once.
 SORT_BYTES = 1 << 20
 SCAN_BYTES = 1 << 20
-PLACE_BITS = 28
 SNIPPET = "tk long, low long, high long, owner long, snippet long"
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every `width` neighbouring values."""
-    span = 1
+    """Place of the minimum of every `width` neighbouring values, the leftmost of equals."""
+    at, span = np.arange(len(values)), 1
+
+    def leftmost(a: slice, b: slice) -> tuple[np.ndarray, np.ndarray]:
+        right = values[b] < values[a]
+        return np.where(right, values[b], values[a]), np.where(right, at[b], at[a])
+
     while span * 2 <= width:
-        values = np.minimum(values[:-span], values[span:])
+        values, at = leftmost(slice(None, -span), slice(span, None))
         span *= 2
-    return np.minimum(values[: len(values) - (width - span)], values[width - span :]) if width > span else values
+    rest = width - span
+    return leftmost(slice(None, len(values) - rest), slice(rest, None))[1] if rest else at
 
 
 def _snippets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -61,12 +67,11 @@ def _snippets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     size = np.diff(offsets)
     begin = np.repeat(offsets[:-1], size)
     place = np.arange(n) - begin
-    bits = np.uint64(PLACE_BITS)
-    least = _least(((gram >> bits) << bits) | place[: len(gram)].astype(np.uint64), WINDOW - GRAM + 1)
+    least = _least(gram, WINDOW - GRAM + 1)
     whole = np.flatnonzero(place[: len(least)] + WINDOW <= np.repeat(size, size)[: len(least)])
     if not len(whole):
         return _snippets(raw[:0], offsets)
-    owner = (least[whole] & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64) + begin[whole]
+    owner = least[whole]
     edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (whole[1:] != whole[:-1] + 1)]))
     low, high = whole[edge], whole[np.append(edge[1:], len(whole)) - 1]
     text = np.searchsorted(offsets, low, "right") - 1
@@ -126,8 +131,8 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 WINDOWS = "owner long, snippet long, count long, first long, low long, at long, window long"
 
 
-def _agreeing(raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Window starts in suffix order to depth WINDOW, and where a new run of agreeing suffixes begins.
+def _suffix_order(raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts in suffix order to depth WINDOW, and how many bytes each shares with the one before it (up to WINDOW).
 
     raw: all snippets; end: for each position the end of its snippet, which no suffix crosses.
     """
@@ -136,22 +141,67 @@ def _agreeing(raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = (key << np.uint64(8)) | padded[j : j + n].astype(np.uint64)
-    depth = 8
+    depth, ranks = 8, []
     alive = np.flatnonzero(np.arange(n) + depth <= end)
     while True:
         order = alive[np.argsort(key[alive])]
         sorted_key = key[order]
-        rank = np.zeros(n, np.uint64)
-        rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]])).astype(np.uint64)
+        rank = np.zeros(n, np.uint32)
+        rank[order] = np.cumsum(np.concatenate([[1], sorted_key[1:] != sorted_key[:-1]]))
+        ranks.append((depth, rank))
         if depth >= WINDOW:
-            return order, np.flatnonzero(np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]]))
+            break
         step = min(depth, WINDOW - depth)  # the last doubling overlaps
         depth += step
         alive = np.flatnonzero(np.arange(n) + depth <= end)
         key = np.zeros(n, np.uint64)
-        key[alive] = (rank[alive] << np.uint64(32)) | rank[alive + step]
+        key[alive] = (rank[alive].astype(np.uint64) << np.uint64(32)) | rank[alive + step]
         if not len(alive):
             return alive, alive
+    shared = np.zeros(len(order), np.int64)
+    at = np.arange(1, len(order))
+    p, q = order[:-1], order[1:]
+    for depth, rank in ranks[::-1]:  # each doubling extends the common prefix by its depth, if the ranks there agree
+        fits = np.flatnonzero(shared[at] + depth <= WINDOW)
+        k = at[fits]
+        same = rank[p[fits] + shared[k]] == rank[q[fits] + shared[k]]
+        shared[k[same]] += depth
+    for more in range(7):  # the rest byte by byte
+        left = np.flatnonzero((shared[at] < WINDOW) & (shared[at] % 8 == more))
+        k = at[left]
+        shared[k] += raw[p[left] + shared[k]] == raw[q[left] + shared[k]]
+    return order, shared
+
+
+def _nearest_smaller(value: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For each entry, how much it shares with the nearest entry before it that has a smaller value (0 where there is none).
+
+    An entry whose candidate is too large goes on to the candidate's own; all entries do so at once, so distances double.
+    """
+    candidate = np.arange(len(value)) - 1
+    least = shared.copy()  # of the entries after the candidate, up to this one
+    going = np.flatnonzero(candidate >= 0)
+    while True:
+        going = going[value[candidate[going]] > value[going]]
+        if not len(going):
+            return np.where(candidate >= 0, least, 0)
+        over = candidate[going]
+        further, reach = candidate[over], least[over]
+        candidate[going] = further
+        least[going] = np.minimum(least[going], reach)
+        going = going[further >= 0]
+
+
+def _longest_factors(order: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest previous and longest later factor (up to WINDOW) of each window in suffix order: the larger of what it shares
+    with the nearest smaller (larger) positions on either side."""
+    after = np.append(shared[1:], 0)[::-1]
+    out = []
+    for value in (order, -order):
+        before = _nearest_smaller(value, shared)
+        behind = _nearest_smaller(value[::-1], after)[::-1]
+        out.append(np.maximum(before, behind))
+    return out[0], out[1]
 
 
 def _factors(datas: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,14 +215,13 @@ def _factors(datas: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.nda
     at = np.concatenate([[0], np.cumsum(windows)])
     raw = np.frombuffer(b"".join(datas), np.uint8)
     earlier, other = np.zeros(at[-1], bool), np.repeat(counts > 1, windows)
-    order, fresh = _agreeing(raw, np.repeat(start + size, size))
+    order, shared = _suffix_order(raw, np.repeat(start + size, size))
     if len(order):
-        run = np.diff(fresh, append=len(order))
-        smallest = np.repeat(np.minimum.reduceat(order, fresh), run)
+        previous, later = _longest_factors(order, shared)
         snippet = np.searchsorted(start, order, "right") - 1
         window = at[snippet] + order - start[snippet]
-        earlier[window] = order != smallest
-        other[window] |= np.repeat(run > 1, run)
+        earlier[window] = previous >= WINDOW
+        other[window] |= (previous >= WINDOW) | (later >= WINDOW)
     return earlier, other, at
 
 
