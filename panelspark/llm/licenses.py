@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fenced, query
+from .common import documents, fenced, query, shielded
 
 NEGATIVES = 1500
 VARIANTS = 60
@@ -192,6 +192,7 @@ def train(docs: DataFrame, negatives: int = NEGATIVES, variants: int = VARIANTS,
     return Model(sorted(r["p"] for r in sample.collect()), variants, seed)
 
 
+@shielded
 def licenses(docs: DataFrame, model: Model) -> DataFrame:
     """`docs` with license_lines added: an array of (line, last_line, family, probability, confirmed) for each notice that the
     model does not take for `none`. A notice is a paragraph (neighbouring lines with words, comment marks are none); lines

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fenced, query
+from .common import documents, fenced, query, shielded
 
 #: Characters before a span, back to the span before it of its kind, in which context words count.
 REACH = 48
@@ -109,6 +109,7 @@ def _named(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
 
+@shielded
 def personal_data(docs: DataFrame) -> DataFrame:
     """`docs` with n_email, n_ip, n_card, n_phone, n_iban, n_ssn (long), base_sha256, spans and n_likely added.
 

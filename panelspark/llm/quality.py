@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, fenced, query
+from .common import documents, fenced, query, shielded
 
 SYMBOL_SHARE = 0.3
 MARK_SHARE = 0.5
@@ -29,7 +29,7 @@ NOTICES = (
 )
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-#: Bits of a window's place in the packed array; longer texts take the general path.
+#: Bits of a window's place in the packed array; longer texts take the general path, which sorts whole hashes.
 PLACE_BITS = 24
 
 
@@ -62,11 +62,20 @@ def _repeat_words(n: Column, windows: Column, packed: Column) -> Column:
     return F.sort_array(F.transform(met, lambda x: x.bitwiseAND(place)))
 
 
+def _mixed(windows: Column, packed: Column) -> Column:
+    """Whether two neighbours have the same high bits and different hashes."""
+    place = F.lit((1 << PLACE_BITS) - 1)
+    at = lambda x: F.get(windows, x.bitwiseAND(place).cast("int"))
+    after = lambda i: F.get(packed, i + 1)
+    return F.exists(F.transform(packed, lambda x, i: (F.shiftright(x, PLACE_BITS) == F.shiftright(after(i), PLACE_BITS)) & (at(x) != at(after(i)))), lambda x: x)
+
+
 def _covered(places: Column) -> Column:
     steps = F.transform(places, lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(places, i + 1) - x, F.lit(3).cast("long"))))
     return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+@shielded
 def quality(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text, any others) with the counts and verdicts added and clean_text, the text without failing lines.
 
@@ -86,8 +95,10 @@ def quality(docs: DataFrame) -> DataFrame:
     small = F.size("_windows") < (1 << PLACE_BITS)
     packed = F.sort_array(F.transform("_windows", lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))))
     out = out.withColumn("_packed", F.when(again & small, packed).otherwise(none))
+    # different windows that share their high bits may hide each other's repeats: such a text takes the general path too
+    exact = small & ~_mixed(F.col("_windows"), F.col("_packed"))
     general = F.expr("array_sort(transform(_windows, (h, i) -> struct(h, bigint(i) as i)))")
-    out = out.withColumn("_general", F.when(again & ~small, general))
+    out = out.withColumn("_general", F.when(again & ~exact, general))
     far = F.expr("sort_array(transform(filter(_general, (x, j) -> x.h = get(_general, j - 1).h or x.h = get(_general, j + 1).h), x -> x.i))")
     places = F.when(F.col("_general").isNotNull(), far).otherwise(_repeat_words(F.col("n_words"), F.col("_windows"), F.col("_packed")))
     out = out.withColumn("_places", places).withColumn("n_repeat_words", _covered(F.col("_places"))).drop("_windows", "_packed", "_general", "_places")
