@@ -4,7 +4,8 @@ An item is found in a document that has at least 75 % of its distinct 5-word shi
 Items are partitioned by size, by powers of two. A partition's sketch is the items' u/4 + 1 smallest hash values, u being
 the most shingles in the partition: a document that lacks all of them lacks over a quarter of the item, so no leak is
 missed. Documents are streamed past the sketches, so long ones cost their length only, and what they hit is verified by
-exact containment in the same task. Items go to the tasks in blocks of `BLOCK_SHINGLES`; each block is one pass.
+exact containment in the same task. Items go to the tasks in blocks of `BLOCK_SHINGLES`; each block is one pass, whose
+leaks are written before the next block is read, so the driver holds one block at a time whatever the number of items.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, documents, query
+from .common import documents, query, scratch_path, written
 from .near_dup import SHINGLE, _full_sets
 from .words import blocks, shingles, utf8
 
@@ -82,16 +83,26 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     named = items.select(F.col("item_id").cast("long").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
-    sets = checkpointed(named.mapInArrow(_full_sets, "node long, full array<long>").filter("size(full) > 0").withColumn("row", F.monotonically_increasing_id()))
-    passes = -(-(sets.agg(F.sum(F.size("full"))).first()[0] or 0) // BLOCK_SHINGLES)
+    sets = written(named.mapInArrow(_full_sets, "node long, full array<long>").filter("size(full) > 0"), "leak-items")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    out = spark.createDataFrame([], FOUND)
-    for k in range(passes):
-        block = sets.filter(F.pmod(F.xxhash64("row"), F.lit(passes)) == k).select("node", "full").collect()  # about BLOCK_SHINGLES values
-        if block:
-            found = rows.mapInArrow(_search([(r["node"], np.array(r["full"], np.int64)) for r in block]), FOUND)
-            out = found if passes == 1 else out.union(found)
-    return out
+    path = scratch_path(spark, "leaks")
+    spark.createDataFrame([], FOUND).write.parquet(f"{path}/block=0")
+    for k, block in enumerate(_blocks(sets), 1):
+        rows.mapInArrow(_search(block), FOUND).write.parquet(f"{path}/block={k}")
+    return spark.read.schema(FOUND).option("recursiveFileLookup", "true").parquet(path)
+
+
+def _blocks(sets: DataFrame) -> Iterator[list[tuple[int | None, np.ndarray]]]:
+    """Whole items with about `BLOCK_SHINGLES` shingles at a time; a longer item is a block of its own."""
+    held, size = [], 0
+    for r in sets.toLocalIterator():  # a partition at a time
+        if held and size + len(r["full"]) > BLOCK_SHINGLES:
+            yield held
+            held, size = [], 0
+        held.append((r["node"], np.array(r["full"], np.int64)))
+        size += len(r["full"])
+    if held:
+        yield held
 
 
 _SHINGLES = """
