@@ -27,14 +27,18 @@ LEAST_SHARE = 0.5
 #: Characters on either side whose words are looked at.
 NEAR = 40
 RUN = re.compile("[A-Za-z0-9+/_=-]{16,}")
-# a name that holds a key word, and all of its value; or else a run. The name starts where its run starts, so a run is read once.
+_KEY = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key"
+# the password of an address; or a name that holds a key word, and all of its value; or else a run. An address and a name
+# start where their runs start, so a run is read once.
 CANDIDATE = re.compile(
-    r"(?<![A-Za-z0-9+/_=-])(?P<lead>[A-Za-z0-9+/_=-]*?)(?i:pass(?:word|wd)?|secret|token|api[_-]?key)(?:[_-](?:(?!(?i:pass|secret|token|api[_-]?key))[A-Za-z0-9_-])*+)?[\"']?\s{0,3}[:=]\s{0,3}[\"']?(?P<value>[^\s\"'<>]{8,}+)|"
+    r"(?<![A-Za-z0-9+.-])[A-Za-z][A-Za-z0-9+.-]*+://[^\s/:@\"'<>]*+:(?P<url>[^\s/@\"'<>]{4,}+)@|"
+    rf"(?<![A-Za-z0-9+/_=-])(?P<lead>[A-Za-z0-9+/_=-]*?)(?i:{_KEY})(?:[_-](?:(?!(?i:pass|pwd|secret|token|api[_-]?key))[A-Za-z0-9_-])*+)?"
+    r"[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?P<value>[^\s\"'<>]{8,}+)|"
     + RUN.pattern
 )
 DIGIT = re.compile("[0-9]")
 # Words near keys, words near things that only look like keys, and key prefixes in use.
-SECRET_WORDS = frozenset("access api apikey auth authorization aws bearer credential credentials key passphrase passwd password private pwd secret token".split())
+SECRET_WORDS = frozenset("access api apikey auth authorization aws bearer credential credentials key pass passphrase passwd password private pwd secret token".split())
 HARMLESS_WORDS = frozenset("checksum commit digest doi etag example hash id image isbn md5 order placeholder revision sample sha sha1 sha256 test uuid version".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk_live_", "sk-", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "SG.", "hf_", "pypi-")
 DICTIONARY = frozenset(
@@ -79,17 +83,19 @@ def features(value: str, before: str, after: str, path: str) -> list[float]:
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     near = [w.lower() for w in _WORD.findall(before)[-4:]]
     later = [w.lower() for w in _WORD.findall(after)[:2]]
-    assigned = bool(re.search(r"[:=]\s*[\"']?$", before)) or bool(re.match(r"^[A-Za-z_]+=", value))
+    address = bool(re.search(r"://[^\s/:@\"'<>]*:$", before))
+    assigned = bool(re.search(r"[:=]>?\s*[\"']?$", before)) or bool(re.match(r"^[A-Za-z_]+=", value))
     return [
         n, *share_of, changes, vowels, alternating, entropy, len(counts) / n, _covered(value), sum(w in SECRET_WORDS for w in near), sum(w in HARMLESS_WORDS for w in near + later),
         float(assigned), float(value.startswith(PREFIXES)), float(set(value.lower()) <= set(HEX)), float(n in (32, 40, 64)), float(value.count("-") == 4), max(len(x) for x in re.split("[^A-Za-z]", value)) / n,
-        float(bool(TEST_PATHS.search(path))), float(before[-1:] in "\"'"),
+        float(bool(TEST_PATHS.search(path))), float(before[-1:] in "\"'"), float(address), float(any(c in "$({[," for c in value)),
     ]
 
 
 def labelled_findings(rows: int = LABELLED, seed: int = SEED) -> tuple[list[tuple[str, str, str, str]], np.ndarray]:
     """Made findings (value, before, after, path) and whether each is a secret."""
     rng = np.random.default_rng(seed)
+    words = sorted(DICTIONARY)
     take = lambda letters, n: "".join(letters[i] for i in rng.integers(0, len(letters), n))
     one = lambda xs: xs[int(rng.integers(0, len(xs)))]
     prose = lambda: " ".join(take("aeiou" * 3 + string.ascii_lowercase, rng.integers(2, 10)) for _ in range(5)) + " "
@@ -99,8 +105,18 @@ def labelled_findings(rows: int = LABELLED, seed: int = SEED) -> tuple[list[tupl
         lambda: "AIza" + take(LETTERS + "_-", 35), lambda: "xoxb-" + take(string.digits, 11) + "-" + take(LETTERS, 24), lambda: "eyJ" + take(LETTERS + "_-", 60), lambda: "hf_" + take(LETTERS, 34),
     ]
     values = [lambda: take(HEX, one([32, 40, 40, 64])), lambda: take(LETTERS, rng.integers(20, 48)), lambda: take(LETTERS + "+/", 40), lambda: take(LETTERS + "_-", rng.integers(16, 40))]
+    upper_or = lambda w: one([w, w, w.title(), w.upper()])
+    digits = lambda a, b: take(string.digits, rng.integers(a, b))
+    mark = lambda: take("!#$%&*@_.-", 1)
+    syllables = lambda a, b: take("aeiou" * 3 + string.ascii_lowercase, rng.integers(a, b))
+    # what people choose: words with digits or marks in them
+    chosen = [
+        lambda: upper_or(one(words)) + digits(1, 4) + upper_or(one(words)), lambda: upper_or(syllables(4, 9)) + digits(1, 4) + upper_or(syllables(4, 9)), lambda: upper_or(one(words)) + mark() + digits(2, 5),
+        lambda: upper_or(syllables(5, 10)) + digits(2, 5) + one(["", mark()]), lambda: syllables(3, 6).title() + mark() + syllables(3, 6).title() + digits(1, 4), lambda: take(LETTERS + "!#$%&*@", rng.integers(8, 20)),
+    ]
+    private = ["password", "passwd", "pwd", "pass", "passphrase", "DB_PASSWORD", "secret", "db_pwd", "the password"]
+    schemes = ["postgres", "mysql", "mongodb+srv", "redis", "amqp", "https", "ftp"]
     lead = ["token", "secret", "api_key", "apikey", "password", "access_key", "auth_token", "private_key", "AWS_SECRET_ACCESS_KEY", "client_secret"]
-    words = sorted(DICTIONARY)
     false = [
         lambda: (take(HEX, 40), prose() + one(["commit ", "revision ", "sha1: ", "hash ", "at "])), lambda: (take(HEX, one([32, 64])), prose() + one(["md5 = ", "checksum: ", "sha256:", "digest=\"", "etag: \""])),
         lambda: ("-".join(take(HEX, n) for n in (8, 4, 4, 4, 12)), prose() + one(["id: ", "uuid = \"", "id=", "request ", ""])), lambda: (take(string.digits, rng.integers(16, 24)), prose() + one(["", "order ", "id ", "card ", "no. "])),
@@ -108,13 +124,24 @@ def labelled_findings(rows: int = LABELLED, seed: int = SEED) -> tuple[list[tupl
         lambda: ("".join(one(words).title() for _ in range(3)) + take(string.digits, 2), prose() + one(["", "function ", "key "])), lambda: (one(["your_api_key_here_123", "xxxxxxxxxxxxxxxx0000", "EXAMPLE_TOKEN_12345", "0000000000000000", "changeme_password_1", "1234567890123456"]), prose() + one(lead) + " = \""),
         lambda: ("/".join(one(words) for _ in range(4)) + take(string.digits, 1), prose() + one(["/", "path ", "https:/"])), lambda: (take("aeiou" * 3 + string.ascii_lowercase, rng.integers(15, 24)) + take(string.digits, 1), prose()),
         lambda: (f"{take(string.digits, 4)}-{take(string.digits, 2)}-{take(string.digits, 2)}T{take(string.digits, 6)}", prose() + one(["time ", "date: ", ""])), lambda: (take(one(["=", "-", "_"]), rng.integers(16, 60)) + "1", prose()),
-        lambda: (take("aeiou" * 3 + string.ascii_lowercase, rng.integers(8, 24)), prose() + one(lead) + " = \""),
+        lambda: (syllables(8, 24), prose() + one(lead + private) + one([" = \"", ": ", "="])),
+        lambda: (one(words) + one(["", "_", "-"]) + one(words), prose() + one(lead + private) + one([" = \"", ": ", "=", " = "])),
+        lambda: (one(["os.environ.get", "getenv", "process.env.", "config.", "settings.", "self.", "${", "{{", "$(", "args."]) + one(words) + one(["", "_", "("]) + one(words) + one(["", ")", "}", "}}", ","]), prose() + one(lead + private) + one([" = ", ": ", "="])),
+        lambda: (one(["********", "xxxxxxxx", "changeme", "password", "undefined", "required,", "........", "redacted", "[REDACTED]", "null,null"]), prose() + one(lead + private) + one([" = \"", ": ", "=", " = "])),
     ]
     out, y = [], np.zeros(rows)
     for i in range(rows):
         if i % 2 == 0:
-            if rng.random() < 0.5:
+            kind = rng.random()
+            if kind < 0.35:
                 value, before = one(keys)(), prose() + one(["", one(lead) + " = \"", one(lead) + ": ", ""])
+            elif kind < 0.6:
+                value = one(chosen)()
+                while len(value) < 8:
+                    value += digits(1, 3)
+                before = prose() + one(private) + one([" = \"", "=", ": ", ": \"", " = "])
+            elif kind < 0.7:
+                value, before = one([*chosen, *values])(), prose() + one(schemes) + "://" + syllables(3, 8) + ":"
             else:
                 value, before = one(values)(), prose() + one(lead) + one([" = \"", "=", ": ", ": \"", " ", "=\""])
             path, y[i] = one(["src0", "src1", "config.env", "app.py"]), 1
@@ -134,7 +161,10 @@ def candidates(text: str) -> list[tuple[int, int]]:
     out = []
     for m in CANDIDATE.finditer(text):
         spans = [m.span()]
-        if m.group("value"):
+        if m.group("url"):
+            out.append(m.span("url"))
+            spans = []
+        elif m.group("value"):
             out += [x.span() for x in RUN.finditer(text, *m.span("lead")) if DIGIT.search(text, *x.span())]
             out.append(m.span("value"))
             spans = [x.span() for x in RUN.finditer(text, *m.span("value")) if x.span() != m.span("value")]
