@@ -1,4 +1,5 @@
-"""Time the headline queries: one JSON line, median of BENCH_REPEATS runs after a warm-up."""
+"""Time the headline queries: one JSON line, median of BENCH_REPEATS runs after a warm-up, and how much longer each takes
+than on the folder of a tenth of the scale, if that lies beside it (one run there, after its own warm-up)."""
 
 from __future__ import annotations
 
@@ -22,22 +23,28 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeats = int(os.environ.get("BENCH_REPEATS", "3"))
+    repeats = int(os.environ.get("BENCH_REPEATS", "5"))
     spark = local_session(cpus, "bench")
     spark.sparkContext.setLogLevel("OFF")
-    times = {}
+    scale = folder.rstrip("/").rsplit("sf", 1)[-1]
+    smaller = f"{folder.rstrip('/')[: -len(scale)]}{float(scale) / 10:g}" if scale.replace(".", "", 1).isdigit() else ""
+
+    def run(name: str, place: str) -> float:
+        start = time.perf_counter()
+        QUERIES[name](spark, place).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    times, ratios = {}, {}
     for name in HEADLINE:
-        runs = []
-        for _ in range(repeats + 1):
-            start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - start)
-            spark.catalog.clearCache()
-        times[name] = round(statistics.median(runs[1:]), 3)
-        print(f"{name} {times[name]}", file=sys.stderr, flush=True)
+        run(name, folder)
+        times[name] = round(statistics.median(run(name, folder) for _ in range(repeats)), 3)
+        if os.path.isdir(smaller):
+            run(name, smaller)
+            ratios[name] = round(times[name] / run(name, smaller), 2)
+        print(f"{name} {times[name]} {ratios.get(name, '')}", file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
-        "sf": folder.rstrip("/").rsplit("sf", 1)[-1], "cpus": cpus, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
+        "sf": scale, "ratio_to_tenth": ratios, "cpus": cpus, "shuffle_partitions": spark.conf.get("spark.sql.shuffle.partitions"),
         "repeats": repeats,
     }))
     spark.stop()

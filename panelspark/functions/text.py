@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,22 +20,27 @@ PLANT_NAMES = {
 }
 
 
+def _selection(uid: Column) -> Column:
+    """An alternation of several units has no plant or unit of its own."""
+    return uid.contains("|")
+
+
 def plant_code(uid: Column | str) -> Column:
     """Part before the first dash; empty for an alternation of several units."""
     u = as_col(uid)
-    return F.when(u.contains("|"), F.lit("")).otherwise(F.regexp_replace(u, "-.*$", ""))
+    return F.when(~_selection(u), F.substring_index(u, "-", 1)).otherwise("")
 
 
 def unit_code(uid: Column | str) -> Column:
     """Part after the last dash; empty for an alternation of several units."""
     u = as_col(uid)
-    return F.when(u.contains("|"), F.lit("")).otherwise(F.regexp_replace(u, "^.*-", ""))
+    return F.when(~_selection(u), F.substring_index(u, "-", -1)).otherwise("")
 
 
-def unit_title(uid: Column | str, names: dict[str, str] = PLANT_NAMES) -> Column:
-    """"<plant> Unit <unit>", or a generic title for unknown plants and selections."""
-    plant = lookup(plant_code(uid), names)
-    return F.when(plant.isNull(), F.lit("Select units'")).otherwise(F.concat_ws(" ", plant, F.lit("Unit"), unit_code(uid)))
+def unit_title(uid: Column | str, names: Mapping[str, str] = PLANT_NAMES) -> Column:
+    """"<plant> Unit <unit>" with the plant's name, or a generic title for plants without one and for selections."""
+    plant = lookup(plant_code(uid), dict(names))
+    return F.coalesce(F.concat(plant, F.lit(" Unit "), unit_code(uid)), F.lit("Select units'"))
 
 
 def pad_code(c: Column | str, width: int = 5) -> Column:

@@ -358,6 +358,64 @@ def clustered_groups(t: Tables):
     return out
 
 
+# One regressor with absorbed areas that are the clusters: a cluster's leverage is its share of the information.
+_SHARES_SE = """SELECT term, round(estimate, 6) AS estimate, round(sqrt(sum(s * s / (1 - info / big))) / big, 6) AS se,
+    round(power(sum(sj - pj * pj / big), 2) / (sum(sj * sj) - 2 * sum(sj * pj * pj) / big + power(sum(pj * pj), 2) / (big * big)), 5) AS df
+    FROM (SELECT *, info / (1 - info / big) / (big * big) AS sj, info / sqrt(1 - info / big) / big AS pj FROM k) GROUP BY term, estimate, big"""
+
+
+def _tested(fit, cluster: str):
+    out = cluster_se(fit, cluster).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("df", 5).alias("df"))
+    fit.release()
+    return out
+
+
+@query(
+    "m7_cluster_se_within",
+    sql_on("panel", extra={
+        "d": """SELECT zip, asthma_count - avg(asthma_count) OVER (PARTITION BY zip) AS y,
+                tot_exp / 1e6 - avg(tot_exp / 1e6) OVER (PARTITION BY zip) AS x FROM panel WHERE tot_exp IS NOT NULL""",
+        "b": "SELECT sum(x * y) / sum(x * x) AS estimate, sum(x * x) AS big FROM d",
+        "k": "SELECT 'millions' AS term, zip, estimate, big, sum(x * x) AS info, sum(x * (y - x * estimate)) AS s FROM d, b GROUP BY zip, estimate, big",
+    }, body=_SHARES_SE),
+)
+def clustered_within(t: Tables):
+    panel = t.panel().withColumn("millions", F.col("tot_exp") / 1e6)
+    return _tested(ols(panel, "asthma_count", ["millions"], absorb="zip"), "zip")
+
+
+@query(
+    "m7_cluster_se_step",
+    f"""WITH g AS ({_GRID.format(1994, 1997)}), a AS (SELECT area, sum(n) AS y, sum(n) FILTER (y >= 1996) AS post FROM g GROUP BY area),
+    b AS (SELECT sum(post) / sum(y) AS share, sum(y) AS total FROM a),
+    k AS (SELECT 'step' AS term, area, ln(share / (1 - share)) AS estimate, total * share * (1 - share) AS big, y * share * (1 - share) AS info,
+          post - y * share AS s FROM a, b WHERE y > 0) {_SHARES_SE}""",
+)
+def clustered_step(t: Tables):
+    """A step for all areas in a balanced Poisson panel: every area's expected share after it is the pooled one."""
+    rows = _grid(t, 1994, 1997).withColumn("step", (F.col("y") >= 1996).cast("double"))
+    return _tested(fe_poisson(rows, "n", ["step"], absorb="area"), "area")
+
+
+@query(
+    "m2_weighted_did_within",
+    sql_on("event_panel", extra={
+        "m": """SELECT zip, sum(totpop) AS w, sum(totpop * asthma_count) / sum(totpop) AS y, sum(totpop * coalclose) / sum(totpop) AS x1,
+                sum(totpop * exposed_coalclose) / sum(totpop) AS x2 FROM event_panel WHERE exposed IS NOT NULL AND totpop IS NOT NULL GROUP BY zip""",
+        "g": """SELECT sum(totpop * (coalclose - x1) * (coalclose - x1)) AS a11, sum(totpop * (coalclose - x1) * (exposed_coalclose - x2)) AS a12,
+                sum(totpop * (exposed_coalclose - x2) * (exposed_coalclose - x2)) AS a22, sum(totpop * (coalclose - x1) * (asthma_count - y)) AS b1,
+                sum(totpop * (exposed_coalclose - x2) * (asthma_count - y)) AS b2 FROM event_panel JOIN m USING (zip) WHERE exposed IS NOT NULL AND totpop IS NOT NULL""",
+    }, body="""SELECT 'coalclose' AS term, round((b1 * a22 - b2 * a12) / (a11 * a22 - a12 * a12), 5) AS estimate FROM g UNION ALL
+               SELECT 'exposed_coalclose', round((b2 * a11 - b1 * a12) / (a11 * a22 - a12 * a12), 5) FROM g"""),
+)
+def weighted_did_within(t: Tables):
+    panel = share_of_total(t.event_panel(), "totpop", "wts")
+    fit = wls(panel, "asthma_count", ["coalclose", "exposed_coalclose"], weights="wts", absorb="zip")
+    out = fit.table().select("term", F.round("estimate", 5).alias("estimate"))
+    fit.release()
+    return out
+
+
 @query("m7_cluster_se_exposure")
 def clustered_exposure(t: Tables):
     panel = t.panel().withColumn("tot_exp", F.col("tot_exp") / 1000)
@@ -614,3 +672,17 @@ def high_use(t: Tables):
     out = _est(fit.table())
     fit.release()
     return out
+
+
+@query(
+    "m7_hc2_first_difference",
+    sql_on("panel", extra={**_differences_sql(), "e": """
+        SELECT d.x - m.mx AS x, d.y - m.my - t.b * (d.x - m.mx) AS e, 1.0 / m.n + power(d.x - m.mx, 2) / t.sxx AS h, t.b, t.sxx FROM d JOIN m USING (k), t"""},
+        body="SELECT 'totpop' AS term, round(any_value(b), 6) AS estimate, round(sqrt(sum(x * x * e * e / (1 - h))) / any_value(sxx), 6) AS se FROM e WHERE h < 1 - 1e-9"),
+)
+def leverage_of_a_row(t: Tables):
+    # With one row a cluster the correction divides by what the row leaves of itself.
+    fit = ols(differences(t), "asthma_diff", [Factor("hyads_group"), "totpop"])
+    out = cluster_se(fit, "zip", ["totpop"]).select("term", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"))
+    fit.release()
+    return out

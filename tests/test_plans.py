@@ -15,6 +15,8 @@ CHECKED = [
     "e5_observed_in_all", "e6_group_profile", "e9_six_number", "e14_spearman", "f3_null_safe_ntile", "f6_follow_up",
     "j5_period_apply_person_month", "d3_natural_join_null_keys", "l3_natural_spline", "m1_did_saturated", "m7_cluster_se_mean",
     "m14_aliased_did", "n3_polygon_area", "a3_spreadsheet_export", "q5_unit_quarter_series",
+    "a4_boundary_table", "b18_level_order", "d6_many_to_many_join", "n2_crosswalk", "m1_two_way_slope", "m3_two_way_step", "m6_lagged_by_period",
+    "m7_cluster_se_groups", "m7_cluster_se_within", "m7_cluster_se_step", "m8_rate_intervals", "m9_vif_three", "q9_predicted_by_year",
 ]
 
 
