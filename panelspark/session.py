@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +42,44 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     folder = tempfile.mkdtemp(prefix="panelspark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_given: list[str] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, one per call."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, one per call; `clear_scratch` removes it."""
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _given.append(path)
+    for scope in _scopes.get()[-1:]:
+        scope.append(path)
+    return path
+
+
+@contextmanager
+def own_scratch(spark: SparkSession) -> Iterator[None]:
+    """What is written to scratch inside is removed at the end, but for what `handed_over` lets out."""
+    paths: list[str] = []
+    token = _scopes.set((*_scopes.get(), paths))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in paths:
+            remove_path(spark, path)
+            _given.remove(path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove every scratch path given out by this process; returns how many. Results that still read one become unusable."""
+    n = len(_given)
+    while _given:
+        remove_path(spark, _given.pop())
+    return n
 
 
 def checkpointed(df):
@@ -84,10 +120,15 @@ class Owned:
 
 
 def handed_over(df: DataFrame, name: str) -> DataFrame:
-    """`df` written to the shared folder and read again, for a plan that needs its rows more than once.
+    """`df` written to the shared folder and read again, for a plan that needs its rows more than once, or that outlives the
+    scratch it was made of.
 
-    What is read from it may be read any time, so it stays until the session's folder is cleared.
+    What is read from it may be read any time, so it stays until `clear_scratch`, or to the end of the scope around.
     """
-    path = scratch_path(df.sparkSession, name)
+    token = _scopes.set(_scopes.get()[:-1])
+    try:
+        path = scratch_path(df.sparkSession, name)
+    finally:
+        _scopes.reset(token)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
