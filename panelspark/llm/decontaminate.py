@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.session import handed_over, own_scratch
+
 from .common import documents, query, scratch_path, written
 from .near_dup import SHINGLE, _full_sets
 from .words import blocks, shingles, utf8
@@ -83,6 +85,12 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     named = items.select(F.col("item_id").cast("long").alias("tk"), F.coalesce("text", F.lit("")).alias("text"))
+    with own_scratch(spark):
+        return handed_over(_leaks(docs, named), "leaks")
+
+
+def _leaks(docs: DataFrame, named: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
     sets = written(named.mapInArrow(_full_sets, "node long, full array<long>").filter("size(full) > 0"), "leak-items")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     path = scratch_path(spark, "leaks")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.session import handed_over, own_scratch
+
 from .common import counted, documents, query, text_key, written
 from .components import components
 from .words import blocks, mix, shingles, utf8
@@ -137,6 +139,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts without a word (or null) are linked with nothing. Rows without a doc_id link others but are not kept; their
     component_id is null if no other member has an id. Repeated rows give repeated results. Other columns are ignored.
     """
+    with own_scratch(docs.sparkSession):
+        return handed_over(_grouped(docs), "near-dup-groups")
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = written(sketches(docs), "near-dup-sketches")
     classes = rows.filter("n > 0").groupBy("k1", "k2", "n").agg(
