@@ -16,6 +16,7 @@ from panelspark.llm.near_dup import near_duplicates
 from panelspark.llm.packing import packed_sequences
 from panelspark.llm.quality import quality
 from panelspark.llm.secrets import secrets
+from panelspark.session import Owned
 
 
 def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
@@ -91,7 +92,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage applied to documents, each on what the one before it returned."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    docs, table = spark.read.parquet(f"{sf_dir}/documents.parquet"), Owned(spark, "pipeline")
+    for _, stage in STAGES:
+        docs = table.write(stage(spark, docs, sf_dir))  # the one before is removed then
     return docs
