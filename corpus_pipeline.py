@@ -27,11 +27,19 @@ def _with_text(docs: DataFrame, columns: list[str], text: Column) -> DataFrame:
     return docs.select(*(new[c].cast(kinds[c]).alias(c) if c in new else F.col(c) for c in columns))
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """`name`, or with underscores added one that no column of `docs` has."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, failing lines go from the others."""
     packed = docs.select("text", F.struct(*docs.columns).alias("_row"))
-    kept = quality(packed).filter("kept").select("_row.*", F.col("clean_text").alias("_clean"))
-    return _with_text(kept, docs.columns, F.col("_clean"))
+    clean = _free(docs, "_clean")
+    kept = quality(packed).filter("kept").select("_row.*", F.col("clean_text").alias(clean))
+    return _with_text(kept, docs.columns, F.col(clean))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +51,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     chosen = found.filter("kept and n_shingles > 0").groupBy("doc_id").agg(F.min("tk").alias("tk"))
     alone = found.filter("n_shingles = 0 or component_id is null").select("doc_id", "tk").distinct()
     keep = written(chosen.union(alone).select(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")), "pipeline-kept")
-    keyed = docs.withColumn("_key", text_key())
-    same = (F.col("_key") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    key, place = _free(docs, "_key"), _free(docs, "_n")
+    keyed = docs.withColumn(key, text_key())
+    same = (keyed[key] == keep["_tk"]) & keyed["doc_id"].eqNullSafe(keep["_id"])
     repeated = found.filter("kept and n_shingles > 0").groupBy("doc_id", "tk").count().filter("count > 1")
     if not repeated.isEmpty():
         # rows without words or id are told apart by their place, all others by id and text
         worded = F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") & F.col("doc_id").isNotNull()
-        keyed = keyed.withColumn("_n", F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
-        keyed = keyed.dropDuplicates(["doc_id", "_key", "_n"])
+        keyed = keyed.withColumn(place, F.when(worded, F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id()))
+        keyed = keyed.dropDuplicates(["doc_id", key, place])
+        same = (keyed[key] == keep["_tk"]) & keyed["doc_id"].eqNullSafe(keep["_id"])
     return keyed.join(keep, same, "left_semi").select(*docs.columns)
 
 
@@ -58,19 +68,20 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that contain a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = contained_items(docs.select(text_key().alias("doc_id"), "text"), items)
-    leaks = written(leaks.select(F.col("doc_id").alias("_key")).distinct(), "pipeline-leaks")
-    return docs.withColumn("_key", text_key()).join(leaks, "_key", "left_anti").select(*docs.columns)
+    key = _free(docs, "_key")
+    leaks = written(leaks.select(F.col("doc_id").alias(key)).distinct(), "pipeline-leaks")
+    return docs.withColumn(key, text_key()).join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     rest = [c for c in docs.columns if c != "text"]
-    found = secrets(docs.withColumn("_null", F.col("text").isNull()), [*rest, "_null"])
-    found = found.toDF(*rest, "_null", "_candidates", "_secrets", "_clean")
-    text = F.when(~F.col("_null"), F.col("_clean"))
-    out = found.withColumn("text", text)
+    null, candidates, hits, clean = (_free(docs, x) for x in ("_null", "_candidates", "_secrets", "_clean"))
+    found = secrets(docs.withColumn(null, F.col("text").isNull()), [*rest, null])
+    found = found.toDF(*rest, null, candidates, hits, clean)
+    out = found.withColumn("text", F.when(~F.col(null), F.col(clean)))
     if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(hits) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
