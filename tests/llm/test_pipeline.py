@@ -69,3 +69,14 @@ def test_missing_ids_and_words_survive_the_stages(spark, folder):
     back = P.secret_stage(spark, docs, folder).collect()
     assert sorted(map(tuple, back), key=lambda r: r[2]) == rows
     assert shingle_set("q r s")
+
+
+def test_columns_called_like_the_stages_own_come_back(spark, folder):
+    names = ["_key", "_n", "_id", "_tk", "_null", "_candidates", "_secrets", "_clean", "_row", "_words", "kept", "tk", "secrets"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").drop("kept")
+    docs = P.written(docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)]), "test-names")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.written(stage(spark, docs, folder), "test-names")
+        rows = docs.collect()
+        assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows)
+    assert sorted(r["n_words"] for r in rows) == [0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 19]
