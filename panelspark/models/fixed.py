@@ -112,88 +112,88 @@ def fe_logit(
     if not c["kept"]:
         raise ValueError("the outcome varies in no group")
     d.n = int(c["n"])
-    table = Owned(spark, "fixed-effects")
-    # __alpha moves along __step; the factor of the step is a literal of the plan
-    effects = table.write(groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha"), F.lit(0.0).alias("__step")))
+    tables = [Owned(spark, "fixed-effects"), Owned(spark, "fixed-effects")]  # the effects, and those of the next step
+    effects = tables[0].write(groups_all.filter(varies).select(absorb, F.log(F.col("ybar") / (1 - F.col("ybar"))).alias("__alpha")))
     spread = spread_rows(d.data.select(absorb, "__one", *x, "__y"), absorb, d.n)
     n_pairs = len(triangle_pairs(p + 2))
+    ends = spread.rows.agg(*[F.max(c) - F.min(c) for c in x]).head() if p else ()
+    widths = np.array([w or 0.0 for w in ends], float)
 
-    def evaluate(b: np.ndarray, factor: float) -> DataFrame:
-        """Per group: weighted cross products of the constant, x and the working residual; likelihood, largest predictor of
-        a 0 and smallest of a 1."""
-        eta = F.col("__alpha") + F.lit(float(factor)) * F.col("__step") + linear_predictor(x, b)
+    def evaluate(b: np.ndarray, effects: DataFrame, alpha: Column) -> DataFrame:
+        """Per group: weighted cross products of the constant, x and the working response, likelihood, separation."""
+        eta = alpha + linear_predictor(x, b)
         pr = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
         w = F.greatest(pr * (1 - pr), F.lit(1e-12))
         side = F.when(yc > 0.5, eta).otherwise(-eta)
         ll = -(F.log1p(F.exp(-F.abs(side))) + F.greatest(-side, F.lit(0.0)))
-        rows = spread.join_groups(effects).select("__one", *x, "__y", w.alias("__v"), ((yc - pr) / w).alias("__z"), ll.alias("__ll"), eta.alias("__eta"))
-        g = rows.group_moments(["__one", *x, "__z"], "__v", extra=["__ll"])
-        # the range needs the group's rows, not its sums
-        ends = rows.rows.groupBy(absorb).agg(F.max(F.when(yc < 0.5, F.col("__eta"))).alias("__hi"), F.min(F.when(yc > 0.5, F.col("__eta"))).alias("__lo"))
-        g = g.join(ends, absorb).withColumn("__ll", F.expr(f"m[{n_pairs}]"))
-        apart = (F.col("__lo") - F.col("__hi") > SPLIT).cast("double")
-        return g.withColumns({"__apart": apart, "__g": F.lit(1.0)}).persist()
+        rows = spread.join_groups(effects).select("__one", *x, "__y", w.alias("__v"), (eta + (yc - pr) / w).alias("__z"), ll.alias("__ll"), eta.alias("__eta"))
+        g = rows.group_moments(["__one", *x, "__z"], "__v", extra=["__ll"]).withColumns({"__ll": F.expr(f"m[{n_pairs}]"), "__g": F.lit(1.0)})
+        if np.abs(b) @ widths <= SPLIT:  # no group's predictor can be wider
+            return g.withColumn("__apart", F.lit(0.0)).persist()
+        low, high = F.min(F.when(yc > 0.5, F.col("__eta"))), F.max(F.when(yc < 0.5, F.col("__eta")))
+        gap = rows.rows.groupBy(absorb).agg((low - high).alias("__gap"))
+        return g.join(gap, absorb).withColumn("__apart", (F.col("__gap") > SPLIT).cast("double")).persist()
 
     def totals(g: DataFrame) -> tuple[np.ndarray, np.ndarray, float, int, int]:
         full, _, (ll, n, apart) = within_sums(g, p + 2, extra=["__ll", "__g", "__apart"])
         return full[:p, :p], full[:p, p], float(ll), int(n), int(apart)
 
-    def moved() -> Column:
-        return (F.col("__alpha") + F.lit(factor) * F.col("__step")).alias("__alpha")
-
-    b, kept, separated, factor = np.zeros(p), None, 0, 0.0
-    g = evaluate(b, factor)
-    hess, grad, ll, groups, gone = totals(g)
+    b, kept, separated = np.zeros(p), None, 0
+    g = evaluate(b, effects, F.col("__alpha"))
+    hess, rhs, ll, groups, gone = totals(g)
     try:
         for _ in range(max_iter):
             if gone:
                 separated, kept = separated + gone, None
                 if gone == groups:
                     raise ValueError("the predictor splits the outcomes of every group: there is no finite estimate")
-                effects = table.write(effects.join(g.filter("__apart > 0").select(absorb), absorb, "left_anti"))
+                effects = tables[1].write(effects.join(g.filter("__apart > 0").select(absorb), absorb, "left_anti"))
+                tables.reverse()
                 g.unpersist()
-                g = evaluate(b, factor)
-                hess, grad, ll, groups, _ = totals(g)
+                g = evaluate(b, effects, F.col("__alpha"))
+                hess, rhs, ll, groups, _ = totals(g)
             if kept is None:
                 kept = drop_aliased(hess, floor=1e-9 * d.n)
-                out = np.setdiff1d(np.arange(p), kept)
-                if np.any(b[out]):
-                    # effects take over what the dropped terms added, a constant within each group that is left
-                    level = F.expr(" + ".join(["0D", *[f"m[{1 + i}] / m[0] * ({float(b[i])!r}D)" for i in out]]))
-                    raised = effects.select(absorb, moved()).join(g.select(absorb, level.alias("__level")), absorb)
-                    effects, factor = table.write(raised.select(absorb, (F.col("__alpha") + F.col("__level")).alias("__alpha"), F.lit(0.0).alias("__step"))), 0.0
-                    b[out] = 0.0
-            step = np.zeros(p)
-            step[kept] = np.linalg.solve(hess[np.ix_(kept, kept)], grad[kept])
-            # Back substitution of each effect's step; one row per group, cut from its history every round.
-            left = " - ".join([f"m[{p + 1}]", *[f"m[{1 + i}] * ({float(step[i])!r}D)" for i in range(p)]])
-            steps = g.select(absorb, F.expr(f"({left}) / m[0]").alias("__step"))
-            effects = table.write(effects.select(absorb, moved()).join(steps, absorb))
+            new = np.zeros(p)
+            new[kept] = np.linalg.solve(hess[np.ix_(kept, kept)], rhs[kept])
+            # Back substitution of each effect, which also takes over what a dropped term added; one row per group.
+            left = " - ".join([f"m[{p + 1}]", *[f"m[{1 + i}] * ({float(new[i])!r}D)" for i in range(p)]])
+            full = tables[1].write(g.select(absorb, F.expr(f"({left}) / m[0]").alias("__alpha")))
             g.unpersist()
-            factor = 1.0
-            for _ in range(30):
-                g = evaluate(b + factor * step, factor)
-                new_hess, new_grad, new_ll, groups, gone = totals(g)
-                if new_ll >= ll - 1e-9 * (1.0 + abs(ll)):
-                    break
-                g.unpersist()
+            g, factor = evaluate(new, full, F.col("__alpha")), 1.0
+            found = totals(g)
+            while not found[2] >= ll - 1e-9 * (1.0 + abs(ll)):
+                if factor == 1.0:
+                    line = effects.join(full.withColumnRenamed("__alpha", "__full"), absorb)
                 factor /= 2.0
-            else:
-                raise ArithmeticError("no step along the slope raises the likelihood")
-            b, hess, grad, rise, ll = b + factor * step, new_hess, new_grad, new_ll - ll, new_ll
-            if factor == 1.0 and np.max(np.abs(step)) < tol * (1.0 + np.max(np.abs(b))) and rise < tol * (1.0 + abs(ll)):
+                if factor < 1e-9:
+                    raise ArithmeticError("no step along the slope raises the likelihood")
+                g.unpersist()
+                moved = F.col("__alpha") + F.lit(factor) * (F.col("__full") - F.col("__alpha"))
+                g = evaluate(b + factor * (new - b), line, moved)
+                found = totals(g)
+            if factor < 1.0:
+                third = Owned(spark, "fixed-effects")
+                full = third.write(line.select(absorb, moved.alias("__alpha")))
+                tables[1].release()
+                tables[1] = third
+            tables.reverse()
+            change, rise = np.max(np.abs(new - b), initial=0.0), found[2] - ll
+            b, effects, (hess, rhs, ll, groups, gone) = b + factor * (new - b), full, found
+            if factor == 1.0 and change < tol * (1.0 + np.max(np.abs(b), initial=0.0)) and rise < tol * (1.0 + abs(ll)):
                 break
         else:
             raise ArithmeticError(f"no convergence in {max_iter} rounds")
     finally:
         g.unpersist()
         spread.release()
+        tables[1].release()
     if separated:
         left_rows = d.data.join(effects.select(absorb), absorb, "left_semi").agg(F.count(F.lit(1)).alias("n")).head()
         d.n = int(left_rows["n"])
     stats = {"deviance": -2 * ll, "groups": groups, "groups_dropped": c["dropped"], "groups_separated": separated}
     return Fit(
         "binomial", d, kept, b[kept], np.linalg.inv(hess[np.ix_(kept, kept)]), 1.0, d.n - len(kept) - groups,
-        normal=True, absorb=absorb, effects=effects.select(absorb, moved()), stats=stats, owned=[table],
+        normal=True, absorb=absorb, effects=effects, stats=stats, owned=[tables[0]],
         again=lambda c: fe_logit(df.filter(present(df, c)), y, terms, absorb, tol, max_iter),
     )

@@ -342,12 +342,13 @@ def clustered_poisson(t: Tables):
 _GROUPS_SE = sql_on("event_panel", extra={
     "r": "SELECT zip, exposed, asthma_count AS y FROM event_panel WHERE exposed IS NOT NULL",
     "g": "SELECT exposed, avg(y) AS m, count(*) * 1.0 AS big FROM r GROUP BY 1",
-    "k": """SELECT exposed, m, big, n, sy - n * m AS s, n / (1 - n / big) / (big * big) AS sj, n / sqrt(1 - n / big) / big AS pj
-            FROM (SELECT zip, exposed, count(*) * 1.0 AS n, sum(y) AS sy FROM r GROUP BY 1, 2) JOIN g USING (exposed)""",
-    "v": """SELECT exposed, m, sum(s * s / (1 - n / big)) / (big * big) AS v, sum(sj - pj * pj / big) AS tr,
+    # the only cluster of its group fits it exactly and adds nothing
+    "k": """SELECT exposed, m, big, n, sy - n * m AS s, CASE WHEN n < big THEN n / (1 - n / big) / (big * big) ELSE 0 END AS sj,
+            CASE WHEN n < big THEN n / sqrt(1 - n / big) / big ELSE 0 END AS pj FROM (SELECT zip, exposed, count(*) * 1.0 AS n, sum(y) AS sy FROM r GROUP BY 1, 2) JOIN g USING (exposed)""",
+    "v": """SELECT exposed, m, sum(CASE WHEN n < big THEN s * s / (1 - n / big) ELSE 0 END) / (big * big) AS v, sum(sj - pj * pj / big) AS tr,
             sum(sj * sj) - 2 * sum(sj * pj * pj) / big + power(sum(pj * pj), 2) / (big * big) AS sq FROM k GROUP BY exposed, m, big""",
-}, body="""SELECT '(Intercept)' AS term, round(m, 6) AS estimate, round(sqrt(v), 6) AS se, round(tr * tr / sq, 5) AS df FROM v WHERE exposed = 0 UNION ALL
-           SELECT 'exposed', round(b.m - a.m, 6), round(sqrt(a.v + b.v), 6), round(power(a.tr + b.tr, 2) / (a.sq + b.sq), 5) FROM v a, v b WHERE a.exposed = 0 AND b.exposed = 1""")
+}, body="""SELECT '(Intercept)' AS term, round(m, 6) AS estimate, round(sqrt(v), 6) AS se, round(CASE WHEN sq > 0 THEN tr * tr / sq END, 5) AS df FROM v WHERE exposed = 0 UNION ALL
+           SELECT 'exposed', round(b.m - a.m, 6), round(sqrt(a.v + b.v), 6), round(CASE WHEN a.sq + b.sq > 0 THEN power(a.tr + b.tr, 2) / (a.sq + b.sq) END, 5) FROM v a, v b WHERE a.exposed = 0 AND b.exposed = 1""")
 
 
 @query("m7_cluster_se_groups", _GROUPS_SE)
