@@ -13,6 +13,8 @@ and those that the first lacks can push as many common ones out of its sketch, s
 What is left of long lists are copies of each other. Every list first proposes its members with its leader only; links
 found make components, and then only members of different components of a list are compared, those of the list's largest
 component not among themselves. A group of copies costs about its size, and no link between components is missed.
+
+Every table here grows with the corpus, so joins ask for a merge: nothing goes through the driver while it happens to be small.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ def _index(classes: DataFrame) -> DataFrame:
     """(value, node, n, copies): for each class the values that its lists are looked up by, those in two or more classes."""
     every = classes.select("node", "n", "copies", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
     shared = every.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    met = every.join(shared, "value")
+    met = every.join(shared.hint("merge"), "value")
     rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))
     met = met.withColumn("rank", rank).withColumn("met", F.count("*").over(Window.partitionBy("node")))
     need = F.when(F.col("n") > SKETCH, F.lit(COMMON)).otherwise(F.least(F.expr("int((3 * n + 3) div 4)"), F.lit(MIXED)))
@@ -99,7 +101,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sketches leave a similarity of 0.75 possible."""
     a = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
     b = classes.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    joined = pairs.join(a, "a").join(b, "b")
+    joined = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, SKETCH)
     joined = joined.withColumn("union", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("sa", "sb"), "union")))
     return joined.filter(F.when(F.size("union") == SKETCH, F.col("both") >= COMMON).otherwise(F.expr("4 * both >= 3 * size(union)"))).select("a", "b")
@@ -108,14 +110,15 @@ def _plausible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _whole(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, full): the whole shingle set of each class, from one of its texts."""
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("tk", text_key())
-    texts = texts.join(nodes.select(F.col("node").alias("tk")).distinct(), "tk", "left_semi").dropDuplicates(["tk"])
+    texts = texts.join(nodes.select(F.col("node").alias("tk")).distinct().hint("merge"), "tk", "left_semi").dropDuplicates(["tk"])
     return written(texts.mapInArrow(_full_sets, "node long, full array<long>"), "near-dup-sets")
 
 
 def _links(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets have a similarity of 0.75 or more."""
     full = _whole(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), docs)
-    joined = pairs.join(full.select(F.col("node").alias("a"), F.col("full").alias("fa")), "a").join(full.select(F.col("node").alias("b"), F.col("full").alias("fb")), "b")
+    sides = [full.select(F.col("node").alias(x), F.col("full").alias(f"f{x}")).hint("merge") for x in ("a", "b")]
+    joined = pairs.join(sides[0], "a").join(sides[1], "b")
     both = F.size(F.array_intersect("fa", "fb"))
     return joined.select("a", "b", both.alias("both"), F.expr("size(fa) + size(fb)").alias("sum")).filter("100 * both >= 75 * (sum - both)").select("a", "b")
 
@@ -127,7 +130,7 @@ def _whole_index(full: DataFrame) -> DataFrame:
     """
     every = full.select("node", F.size("full").cast("long").alias("n"), F.explode("full").alias("value"))
     shared = every.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
-    met = every.join(shared, "value")
+    met = every.join(shared.hint("merge"), "value")
     met = met.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "value"))).withColumn("met", F.count("*").over(Window.partitionBy("node")))
     return met.filter("rank - met <= 1 - int((3 * n + 3) div 4)").select("value", "node", "n", (F.col("met") - F.col("rank") + 1).alias("reach"))
 
@@ -153,7 +156,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     index = written(_index(classes), "near-dup-index")
 
     leaders = index.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("copies", "node")).alias("lead"))
-    pairs = index.join(leaders, "value").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
+    pairs = index.join(leaders.hint("merge"), "value").filter(F.col("node") != F.col("lead.node")).filter(_sizes_fit("n", "lead.n"))
     pairs = pairs.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     found = components(_links(written(_plausible(pairs, classes), "near-dup-pairs"), docs))
 
@@ -167,17 +170,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
         # only components meet here, so these are what is left to link
         more = _links(rest, docs)
         for end in ("a", "b"):
-            more = more.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+            more = more.join(found.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")).hint("merge"), end, "left")
         joined = components(more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
         further = joined.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        found = found.join(further, "root", "left").select("node", F.coalesce("last", "root").alias("root"))
-        found = written(found.union(joined.join(found, "node", "left_anti").select("node", "root")), "near-dup-found")
+        found = found.join(further.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+        found = written(found.union(joined.join(found.hint("merge"), "node", "left_anti").select("node", "root")), "near-dup-found")
 
-    named = classes.select("k1", "k2", "n", "node", "first").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = classes.select("k1", "k2", "n", "node", "first").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = named.join(least, "root").select("k1", "k2", "n", "component_id")
+    labels = named.join(least.hint("merge"), "root").select("k1", "k2", "n", "component_id")
     empty = spark.createDataFrame([], labels.schema)
-    out = rows.drop("sketch").join(labels.union(empty), ["k1", "k2", "n"], "left")
+    out = rows.drop("sketch").join(labels.union(empty).hint("merge"), ["k1", "k2", "n"], "left")
     return out.select(
         "doc_id", "tk", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -185,17 +188,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
 
 def _members(index: DataFrame, found: DataFrame) -> DataFrame:
     """Lists with members of two or more components: inner marks the list's largest one, outside counts all others."""
-    member = index.select("value", "node", "n", "reach").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    member = index.select("value", "node", "n", "reach").join(found.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = member.groupBy("value", "root").agg(F.count("*").alias("members"))
     per = per.groupBy("value").agg(F.max_by("root", F.struct("members", "root")).alias("main"), (F.sum("members") - F.max("members")).alias("outside")).filter("outside > 0")
-    return written(member.join(per, "value").select("value", "node", "n", "reach", "root", "outside", (F.col("root") == F.col("main")).alias("inner")), "near-dup-members")
+    return written(member.join(per.hint("merge"), "value").select("value", "node", "n", "reach", "root", "outside", (F.col("root") == F.col("main")).alias("inner")), "near-dup-members")
 
 
 def _across(member: DataFrame) -> DataFrame:
     """Pairs of a list in different components; the list's largest component is only met from outside."""
     a = member.filter("not inner").select("value", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "reach", "root")))
     b = member.select("value", "inner", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "reach", "root")))
-    met = a.join(b, (a["value"] == b["value"]) & (F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("node_a") < F.col("node_b"))) & F.expr("175 * least(reach_a, reach_b) >= 75 * (n_a + n_b)") & _sizes_fit("n_a", "n_b"))
+    met = a.join(b.hint("merge"), (a["value"] == b["value"]) & (F.col("root_a") != F.col("root_b")) & (F.col("inner") | (F.col("node_a") < F.col("node_b"))) & F.expr("175 * least(reach_a, reach_b) >= 75 * (n_a + n_b)") & _sizes_fit("n_a", "n_b"))
     return met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
 
 
