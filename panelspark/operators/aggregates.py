@@ -77,18 +77,37 @@ def histogram_all(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
     return counts.select("key", "bin", center.alias("center"), "n")
 
 
+#: A value with at least one in so many rows is hot; a column has as many of them at most.
+_HOT = 10_000
+#: Numbers that a task gets when ranks are looked up and brought together.
+_CELLS = 1_000_000
+
+
 def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """One row per row of `df` with `__rank_<col>` for every column, ties at their mean rank.
+    """One row per row of `df` with `__rank_<col>` for every column, ties at their mean rank. No column has missing values.
 
     The rows are handed over once with an id. All columns are then ranked as one long table keyed by column, and the ranks
-    go back by id, so the number of scans and exchanges does not grow with the columns. A hot value is one row while ranks
-    are made.
+    go back by id, so the number of scans and exchanges does not grow with the columns. Ranks of hot values are broadcast, so
+    all numbers that meet in an exchange have keys of few rows; tasks get more in number with the rows, not larger.
     """
     rows = handed_over(df.select(*cols).withColumn("__id", F.monotonically_increasing_id()), "ranked-rows")
     long = rows.select("__id", F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__at", "value"))
     splits = sorted({x for cuts in range_splits(rows, cols) for x in cuts})
-    ranks = average_ranks(long, "value", by=["__at"], splits=splits).select("__at", "value", "rank")
-    back = long.join(ranks, ["__at", "value"]).groupBy("__id")
+    ranks = handed_over(average_ranks(long, "value", by=["__at"], splits=splits), "ranks")
+    n = rows.count()
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * len(cols) // _CELLS))
+    is_hot = F.col("cnt") * _HOT >= n
+    # At most _HOT rows per listed column.
+    hot = F.broadcast(ranks.filter(is_hot).select("__at", "value", "rank"))
+    known = long.join(hot, ["__at", "value"]).select("__id", "__at", "rank")
+    # Dealt by one whole number, and compared after that: as join keys, doubles would be dealt anew, by the session's number of tasks.
+    key = F.xxhash64("__at", "value").alias("__key")
+    rare = ranks.filter(~is_hot).select(key, F.col("__at").alias("__of"), F.col("value").alias("__as"), "rank").repartition(tasks, "__key")
+    others = long.join(hot, ["__at", "value"], "left_anti").select("__id", "__at", "value", key).repartition(tasks, "__key")
+    equal = F.col("__at").between(F.col("__of"), F.col("__of")) & F.col("value").between(F.col("__as"), F.col("__as"))
+    looked = others.join(rare.hint("merge"), (others["__key"] == rare["__key"]) & equal).select("__id", "__at", "rank")
+    # Dealt before they are brought together, so that no task has to hold all ids of what it reads.
+    back = known.union(looked).repartition(tasks, "__id").groupBy("__id")
     return back.agg(*[F.max(F.when(F.col("__at") == i, F.col("rank"))).alias(f"__rank_{c}") for i, c in enumerate(cols)])
 
 

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.operators.aggregates import corr_matrix
+from panelspark.operators import aggregates
+from panelspark.operators.aggregates import corr_matrix, spearman
 from panelspark.operators.joins import factorised_join, opened_pairs
 from panelspark.plans import QUERIES
 from panelspark.plans.frames import Tables
@@ -39,6 +40,32 @@ def test_ranks_of_many_columns_cost_what_ranks_of_few_cost(spark):
     assert "plan-test" not in plans[3]  # the source was read once, before
 
 
+@pytest.fixture
+def ranked(spark, monkeypatch):
+    """Hot values, infinite ones and many rare ones; ten rows make a value hot here."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.integers(0, 3000, 6000).astype(float), "b": rng.normal(0, 1, 6000).round(2) + 0.0, "c": np.arange(6000) % 2.0})
+    pdf.loc[::2, "a"] = 7.0
+    pdf.loc[1::4, "a"] = 0.0
+    pdf.loc[[3, 11], "b"] = [np.inf, -np.inf]
+    pdf.loc[[5, 6], "b"] = np.nan
+    monkeypatch.setattr(aggregates, "_HOT", 600, raising=False)
+    monkeypatch.setattr(aggregates, "_CELLS", 500, raising=False)
+    return pdf, spark.createDataFrame(pdf).repartition(5)
+
+
+def test_rank_tasks_get_more_not_larger(ranked):
+    pdf, df = ranked
+    for cols in (["a", "b"], ["a", "b", "c"]):
+        rows = aggregates._with_ranks(df.select(*cols).na.drop(), cols)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 5998 and max(sizes) < 3 * 500 / len(cols)  # one task had them all
+        assert rows.filter(" OR ".join(f"__rank_{c} IS NULL" for c in cols)).count() == 0
+    rho = spearman(df, "a", "b").head()["rho"]
+    whole = pdf.dropna()
+    assert rho == pytest.approx(whole.a.rank().corr(whole.b.rank()), abs=1e-12)
+
+
 def test_pairs_are_counted_not_made(spark):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a")], "k int, x string")
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (3, 1.0), (None, 2.0)], "k int, y double")
