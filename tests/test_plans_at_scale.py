@@ -66,6 +66,16 @@ def test_rank_tasks_get_more_not_larger(ranked):
     assert rho == pytest.approx(whole.a.rank().corr(whole.b.rank()), abs=1e-12)
 
 
+def test_hot_values_of_a_matrix_are_not_dealt_by_value(ranked):
+    pdf, df = ranked
+    got = corr_matrix(df, ["a", "b", "c"], "spearman")
+    plan = plan_of(got)
+    assert "LeftAnti" in plan and "hashpartitioning(__key" in plan and "hashpartitioning(value" not in plan
+    want = pdf.dropna().rank().corr()
+    for r in got.collect():
+        assert r["value"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-12)
+
+
 def test_pairs_are_counted_not_made(spark):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a")], "k int, x string")
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (3, 1.0), (None, 2.0)], "k int, y double")
