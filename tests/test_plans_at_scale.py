@@ -1,6 +1,7 @@
 """Promises about plans: scans, exchanges, pairs and what is left in memory."""
 
 import os
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import aggregates
-from panelspark.operators.aggregates import corr_matrix, spearman
+from panelspark.operators.aggregates import corr_matrix, spearman, triangle
 from panelspark.operators.joins import factorised_join, opened_pairs
 from panelspark.plans import QUERIES
 from panelspark.plans.frames import Tables
@@ -76,6 +77,17 @@ def test_hot_values_of_a_matrix_are_not_dealt_by_value(ranked):
         assert r["value"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-12)
 
 
+def test_tasks_of_a_matrix_triangle_follow_its_rows(ranked):
+    pdf, df = ranked
+    want = pdf.dropna().rank().corr()
+    for rows, tasks in ((5998, 36), (2 * 5998, 72)):
+        got = triangle(corr_matrix(df if tasks == 36 else df.union(df), ["a", "b", "c"], "spearman"))
+        found = re.findall(r"hashpartitioning\(__id#\w+, (\d+)\)", plan_of(got))
+        assert found and set(found) == {str(-(-rows * 3 // 500))} == {str(tasks)}
+        cells = {(r["var1"], r["var2"]): r["value"] for r in got.collect()}
+        assert len(cells) == 6 and all(v == pytest.approx(want.loc[k], abs=1e-12) for k, v in cells.items())
+
+
 def test_pairs_are_counted_not_made(spark):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a")], "k int, x string")
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (3, 1.0), (None, 2.0)], "k int, y double")
