@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import strict_avg, strict_sum
 from ..session import handed_over
+from .ranks import CELLS as _CELLS
 from .ranks import average_ranks, exact_quantiles, range_splits
 from .reshape import unpivot
 
@@ -79,8 +80,6 @@ def histogram_all(df: DataFrame, cols: Sequence[str], bins: int) -> DataFrame:
 
 #: A value with at least one in so many rows is hot; a column has as many of them at most.
 _HOT = 10_000
-#: Numbers that a task gets when ranks are looked up and brought together.
-_CELLS = 1_000_000
 
 
 def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -92,10 +91,10 @@ def _with_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     rows = handed_over(df.select(*cols).withColumn("__id", F.monotonically_increasing_id()), "ranked-rows")
     long = rows.select("__id", F.posexplode(F.array(*[F.col(c).cast("double") for c in cols])).alias("__at", "value"))
-    splits = sorted({x for cuts in range_splits(rows, cols) for x in cuts})
-    ranks = handed_over(average_ranks(long, "value", by=["__at"], splits=splits), "ranks")
     n = rows.count()
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * len(cols) // _CELLS))
+    splits = sorted({x for cuts in range_splits(rows, cols, -(-8 * n // _CELLS)) for x in cuts})
+    ranks = handed_over(average_ranks(long, "value", by=["__at"], splits=splits, tasks=tasks), "ranks")
     is_hot = F.col("cnt") * _HOT >= n
     # At most _HOT rows per listed column.
     hot = F.broadcast(ranks.filter(is_hot).select("__at", "value", "rank"))

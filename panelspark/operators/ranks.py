@@ -1,8 +1,8 @@
 """Exact order statistics without a single-task sort.
 
-Values are first counted (a hot value collapses to one row on the map side), cut into ranges at
-approximate quantiles, and numbered within each range; range totals give the offsets. No task
-sees more than one range of distinct values.
+Values are cut into ranges at approximate quantiles. A value at a cut, as every hot one is, is counted
+on the map side; the values between two cuts are few, so they are dealt by range, then counted and
+numbered there; range totals give the offsets. There are more ranges and tasks for more rows, not larger ones.
 """
 
 from __future__ import annotations
@@ -16,46 +16,72 @@ from pyspark.sql import functions as F
 from ..session import checkpointed
 
 
-def range_splits(df: DataFrame, cols: Sequence[str], ranges: int | None = None) -> list[list[float]]:
+#: Numbers that a task gets when values are counted; ranges hold about an eighth, so that few of them make a task uneven.
+CELLS = 1_000_000
+#: Ranges asked for in a column at most; they grow from 1.25 billion values on, and tasks from 10 billion.
+_RANGES = 10_000
+
+
+def range_splits(df: DataFrame, cols: Sequence[str], ranges: int = 0) -> list[list[float]]:
     """Ascending cut points for about equally filled ranges of each column, in one pass.
 
-    They only balance the work; results do not depend on them. At most `ranges` numbers per column.
+    They only balance the work; results do not depend on them. There are `ranges` of them, or
+    as many as the session has tasks, as far as values differ.
     """
-    n = ranges or max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(ranges, _RANGES))
     probs = [i / n for i in range(1, n)]
     cuts = df.approxQuantile(list(cols), probs, 1.0 / (4 * n))
-    return [[float("-inf"), *sorted(set(c)), float("inf")] for c in cuts]
+    return [sorted({float("-inf"), *(x + 0.0 for x in c), float("inf")}) for c in cuts]
 
 
-def value_positions(df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None) -> DataFrame:
+def value_positions(
+    df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None, tasks: int | None = None
+) -> DataFrame:
     """(by, value, cnt, before, n): `before` counts the group's smaller values, `n` all its values.
 
-    Nulls are left out.
+    Nulls are left out, as values and as groups. Values between cuts are dealt to `tasks` tasks, if the session has fewer.
     """
     by = list(by)
-    d = df.select(*by, F.col(col).cast("double").alias("value")).filter(F.col("value").isNotNull())
-    splits = splits or range_splits(d, ["value"])[0]
+    # Negative zero becomes zero.
+    d = df.select(*by, (F.col(col).cast("double") + F.lit(0.0)).alias("value"))
+    for c in d.columns:
+        d = d.filter(F.col(c).isNotNull())
+    if tasks is None:
+        tasks = -(-d.count() // CELLS)
+    splits = splits or range_splits(d, ["value"], 8 * tasks)[0]
     if len(splits) > 2:
-        d = Bucketizer(splits=splits, inputCol="value", outputCol="__range").transform(d)
+        d = Bucketizer(splits=splits, inputCol="value", outputCol="__bucket").transform(d)
     else:
-        d = d.withColumn("__range", F.lit(0.0))
+        d = d.withColumn("__bucket", F.lit(0.0))
+    bucket = F.col("__bucket").cast("int")
+    # Even numbers are the cuts themselves, odd ones the ranges between them.
+    place = F.when(F.col("value") == F.element_at(F.lit(splits), bucket + 1), 0).when(F.col("value") == F.lit(splits[-1]), 2).otherwise(1)
+    d = d.withColumn("__range", 2 * bucket + place).drop("__bucket")
     keys = [*by, "__range"]
-    counts = d.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
+    at_cut = F.col("__range") % 2 == 0
+    few = tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    between = d.filter(~at_cut).repartition(*([] if few else [tasks]), *keys)
+    counts = between.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
     inside = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per group and range: at most len(splits) rows per group meet in one window.
+    # One row per group and range or cut: at most twice len(splits) rows per group meet in one window.
     earlier = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("__n"))
-    offsets = totals.select(
-        *keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"), F.sum("__n").over(Window.partitionBy(*by)).alias("n")
+    cuts = d.filter(at_cut).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.max("value").alias("__cut"))
+    totals = counts.groupBy(*keys).agg(F.sum("cnt").alias("__n")).withColumn("__cut", F.lit(None).cast("double")).unionByName(cuts)
+    before = F.coalesce(F.sum("__n").over(earlier), F.lit(0))
+    offsets = totals.select(*keys, "__cut", "__n", before.alias("__off"), F.sum("__n").over(Window.partitionBy(*by)).alias("n"))
+    # A cut meets no counted values: it is its own.
+    placed = counts.withColumn("__in", F.sum("cnt").over(inside)).join(offsets, keys, "right")
+    return placed.select(
+        *by, F.coalesce("value", "__cut").alias("value"), F.coalesce("cnt", "__n").alias("cnt"),
+        (F.coalesce("__in", F.lit(0)) + F.col("__off")).alias("before"), "n",
     )
-    counts = counts.withColumn("__in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
-    before = (F.col("__in") + F.col("__off")).alias("before")
-    return counts.join(offsets, keys).select(*by, "value", "cnt", before, "n")
 
 
-def average_ranks(df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None) -> DataFrame:
+def average_ranks(
+    df: DataFrame, col: str, by: Sequence[str] = (), splits: list[float] | None = None, tasks: int | None = None
+) -> DataFrame:
     """(by, value, cnt, rank) with tied values sharing their mean rank."""
-    pos = value_positions(df, col, by, splits)
+    pos = value_positions(df, col, by, splits, tasks)
     return pos.withColumn("rank", F.col("before") + (F.col("cnt") + 1) / F.lit(2.0)).drop("before", "n")
 
 

@@ -198,6 +198,19 @@ def test_ranks_match_pandas(skewed):
     assert cells[cells.i != cells.j].value.tolist() == pytest.approx([rho, rho])
 
 
+def test_ranks_at_and_between_cuts(spark):
+    rng = np.random.default_rng(12)
+    x = np.concatenate([np.full(900, np.inf), np.full(700, -np.inf), np.full(600, 0.0), np.full(500, -0.0), rng.normal(0, 1, 4000).round(3)])
+    pdf = pd.DataFrame({"g": np.where(np.arange(len(x)) % 3 == 0, "a", "b"), "x": x})
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("x") != 0.5, F.col("g"))).repartition(7)
+    pdf = pdf[pdf.x != 0.5]  # these have no group
+    for cuts, tasks in ((None, None), (None, 100), ([-np.inf, np.inf], 1), ([-np.inf, -1.0, -0.001, 0.0, 0.7, np.inf], 20)):
+        got = average_ranks(df, "x", ["g"], cuts, tasks).toPandas()
+        assert len(got) == sum(pdf[pdf.g == g].x.nunique() for g in "ab") and got.cnt.sum() == len(pdf)
+        want = pdf.assign(r=pdf.groupby("g").x.rank()).groupby(["g", "x"]).r.first()
+        assert np.allclose(got.set_index(["g", "value"])["rank"].loc[want.index], want)
+
+
 def test_ntile_is_exact_and_skips_nulls(skewed):
     pdf, df = skewed
     got = null_safe_ntile(df.select("id", "x"), "x", 10, ["id"], "tile").toPandas().set_index("id").tile

@@ -88,6 +88,38 @@ def test_tasks_of_a_matrix_triangle_follow_its_rows(ranked):
         assert len(cells) == 6 and all(v == pytest.approx(want.loc[k], abs=1e-12) for k, v in cells.items())
 
 
+@pytest.fixture
+def counted(monkeypatch):
+    """The tables of ranks as they are handed over: the rows of every task, and the plan."""
+    seen = []
+
+    def watched(df, name):
+        if name == "ranks":
+            got = df.groupBy(F.spark_partition_id()).count()
+            seen.append(([r["count"] for r in got.collect()], plan_of(df)))
+        return handed_over(df, name)
+
+    monkeypatch.setattr(aggregates, "handed_over", watched)
+    return seen
+
+
+def test_distinct_values_of_a_matrix_are_counted_in_more_tasks_not_larger(spark, ranked, counted):
+    pdf, _ = ranked
+    pdf = pd.DataFrame({"a": np.random.default_rng(4).normal(0, 1, 6000), "b": pdf.c, "c": np.arange(6000) % 40 / 4})
+    pdf.loc[::3, "a"] = 0.25
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corr_matrix(spark.createDataFrame(pdf).repartition(5), ["a", "b", "c"], "spearman").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    sizes, _ = counted[0]
+    assert sum(sizes) == sum(pdf[c].nunique() for c in pdf) and max(sizes) < 500  # an eighth of all 4,043 or more, by the session
+    want = pdf.rank().corr()
+    for r in got:
+        assert r["value"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-12)
+
+
 def test_pairs_are_counted_not_made(spark):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a")], "k int, x string")
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (3, 1.0), (None, 2.0)], "k int, y double")
