@@ -120,6 +120,17 @@ def test_distinct_values_of_a_matrix_are_counted_in_more_tasks_not_larger(spark,
         assert r["value"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-12)
 
 
+def test_tasks_that_count_for_a_matrix_triangle_follow_its_rows(ranked, counted):
+    pdf, df = ranked
+    want = pdf.dropna().rank().corr()
+    for source in (df, df.union(df)):
+        got = triangle(corr_matrix(source, ["a", "b", "c"], "spearman")).collect()
+        assert len(got) == 6 and all(r["value"] == pytest.approx(want.loc[r["var1"], r["var2"]], abs=1e-12) for r in got)
+    tasks = [set(re.findall(r"hashpartitioning\(__at#\w+, __range#\w+, (\d+)\), REPARTITION", plan)) for _, plan in counted]
+    assert tasks == [{str(-(-rows * 3 // 500))} for rows in (5998, 2 * 5998)]
+    assert not any(re.search(r"hashpartitioning\([^)]*\bvalue#", plan) for _, plan in counted)
+
+
 def test_pairs_are_counted_not_made(spark):
     left = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "a"), (None, "a")], "k int, x string")
     right = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (3, 1.0), (None, 2.0)], "k int, y double")
